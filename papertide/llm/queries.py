@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from . import mixing, urls
+from .decontaminate import op8_decontamination
+from .mixing import op6_mixing
 from .quality import op1_quality_rules
 from .simhash import op7_simhash
+from .urls import op3_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filters": op3_url_filters,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filters": urls.SQL,
+    "op6_mixing": mixing.SQL,
+}
