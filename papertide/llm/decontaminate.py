@@ -26,10 +26,10 @@ from . import textkernel as tk
 from .shared import stored, table
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
 #: A block of the query set: UTF-8 bytes of item text at most, or one longer item.
 BLOCK_BYTES = 2 << 20
-CANDIDATES = 1 << 19
+CANDIDATES = 1 << 17
 #: Proximity: so many words of a full window, each at most NEAR_SLOP places off.
 NEAR_WORDS, NEAR_SLOP = 8, 2
 
@@ -48,8 +48,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             data, cuts = tk.column_bytes(batch.column(1))
             for lo, hi in tk.chunks(cuts, SHARD_BYTES):
-                w = words_of(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
-                hashes = w.hashes()
+                counts, hashes = _token_hashes(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
                 order = np.lexsort((np.arange(len(hashes)), hashes)) if len(hashes) < 2 else _by_term(hashes)
                 ranked = hashes[order]
                 last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True)) if len(ranked) else np.zeros(0, np.int64)
@@ -58,7 +57,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [
                         pa.array([shard], pa.int64()),
                         ids,
-                        pa.array([w.counts.tolist()], pa.list_(pa.int32())),
+                        pa.array([counts.tolist()], pa.list_(pa.int32())),
                         pa.array([ranked[last].tobytes()], pa.binary()),
                         pa.array([(last + 1).astype(np.uint32).tobytes()], pa.binary()),
                         # byte planes, as the high bytes of positions hardly vary
@@ -71,6 +70,16 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(flat.mapInArrow(run, f"shard bigint, ids array<{kind}>, counts array<int>, terms binary, ends binary, postings binary"))
 
 
+def _token_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row and all their hashes, by slices."""
+    counts, hashes = [], []
+    for lo, hi in tk.chunks(cuts, SLICE_BYTES):
+        w = words_of(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
+        counts.append(w.counts)
+        hashes.append(w.hashes())
+    return np.concatenate(counts), np.concatenate(hashes)
+
+
 def _by_term(hashes: np.ndarray) -> np.ndarray:
     """Positions sorted by term, then by position."""
     order = np.argsort(hashes)
