@@ -5,16 +5,22 @@ from __future__ import annotations
 from . import mixing, urls
 from .decontaminate import op8_decontamination
 from .mixing import op6_mixing
+from .pii import op9_pii
 from .quality import op1_quality_rules
+from .secrets import op10_secrets
 from .simhash import op7_simhash
+from .substrings import op4_repeats
 from .urls import op3_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_repeats": op4_repeats,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {

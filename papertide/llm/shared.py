@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: What separates words in most contracts: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,7 +27,13 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papertide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing reads the shuffles behind a written table again
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
