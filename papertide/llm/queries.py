@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from . import mixing, urls
 from .decontaminate import op8_decontamination
+from .language import op2_language_id
 from .mixing import op6_mixing
 from .pii import op9_pii
 from .quality import op1_quality_rules
+from .quotations import op5_quotation_linking
 from .secrets import op10_secrets
 from .simhash import op7_simhash
 from .substrings import op4_repeats
@@ -14,8 +16,10 @@ from .urls import op3_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_repeats": op4_repeats,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
@@ -24,6 +28,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_language_id": op2_language_id,
     "op3_url_filters": urls.SQL,
     "op6_mixing": mixing.SQL,
 }
