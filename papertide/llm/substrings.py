@@ -8,8 +8,9 @@
 3. Passages.  In its first document a recurring window lies in a run of such
    windows: these runs, each kept once, hold every recurring window.
 4. Automata.  Documents are dealt into shards.  A shard gets the passages whose
-   windows its documents hold and compiles an Aho-Corasick automaton of their
-   aligned 25-word blocks: any window of 50 words contains one.
+   windows its documents hold and cuts them into blocks of 25 words, of which
+   any window of 50 words contains one.  Each block's opening phrase goes into
+   the shard's Aho-Corasick automaton, spelt in three letters a word.
 5. All documents stream through their shard's automaton; the windows around
    each occurrence are looked up among the passages' windows, and words of those
    that began in a document with a smaller id are removed.
@@ -33,7 +34,8 @@ from .shared import stored, table
 
 WINDOW, PHRASE = 50, 10
 SLICE_BYTES = 1 << 19
-LOW32 = np.uint64(0xFFFFFFFF)
+#: A word is spelt in so many letters of four bits of its hash: nodes with few branches are walked fast.
+LETTERS = 3
 
 
 def block_words(window: int) -> int:
@@ -146,27 +148,33 @@ def find_passages(owned: DataFrame, window: int) -> DataFrame:
     return owned.mapInArrow(run, "id bigint, text string")
 
 
+def spelt(hashes: np.ndarray) -> str:
+    """A text for the automaton: LETTERS letters for each word."""
+    nibbles = np.stack([(hashes >> np.uint64(20 + 4 * k)) & np.uint64(15) for k in range(LETTERS)], 1)
+    return (nibbles + np.uint64(0x40)).astype(np.uint8).tobytes().decode("ascii")
+
+
 class Automaton:
-    """The passages of a shard: an automaton over their blocks, and their windows with the first document of each."""
+    """The passages of a shard: an automaton over their phrases, and their windows with the first document of each."""
 
-    def __init__(self, window: int):
+    def __init__(self, window: int, phrase: int):
         self.window, self.block = window, block_words(window)
-        self.blocks: set[bytes] = set()
+        self.phrase = min(phrase, self.block)
+        self.phrases: set[str] = set()
         self.parts: list[tuple[np.ndarray, int]] = []
         self.machine: ahocorasick.Automaton | None = None
 
     def add(self, first: int, hashes: np.ndarray) -> None:
-        ids = (hashes & LOW32).astype(np.uint32)
-        for at in range(0, len(ids) - self.block + 1, self.block):
-            self.blocks.add(ids[at : at + self.block].tobytes())
+        text, long = spelt(hashes), LETTERS * self.phrase
+        self.phrases.update(text[LETTERS * at : LETTERS * at + long] for at in range(0, len(hashes) - self.block + 1, self.block))
         self.parts.append((tk.Grams(hashes).at(np.arange(len(hashes) - self.window + 1), self.window), first))
 
     def compile(self) -> None:
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for b in self.blocks:
-            self.machine.add_word(tuple(np.frombuffer(b, np.uint32).tolist()))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for text in self.phrases:
+            self.machine.add_word(text)
         self.machine.make_automaton()
-        self.blocks = set()
+        self.phrases = set()
         keys = np.concatenate([k for k, _ in self.parts])
         firsts = np.repeat(np.array([f for _, f in self.parts], np.int64), [len(k) for k, _ in self.parts])
         order = np.lexsort((firsts, keys))
@@ -177,16 +185,17 @@ class Automaton:
     def removed(self, hashes: np.ndarray, doc: int | None) -> np.ndarray:
         """Marks the words of a document that lie in a window from a document with a smaller id."""
         n = len(hashes)
-        if doc is None or n < self.window or not (self.blocks or self.machine):
+        if doc is None or n < self.window or not (self.parts or self.machine):
             return np.zeros(n, bool)
         if self.machine is None:
             self.compile()
-        ends = np.fromiter((e for e, _ in self.machine.iter(tuple((hashes & LOW32).tolist()))), np.int64)
-        if not len(ends):
-            return np.zeros(n, bool)
-        # windows that contain the block ending at e begin from e + 1 - window to e + 1 - block
-        low, high = np.maximum(ends + 1 - self.window, 0), np.minimum(ends + 1 - self.block, n - self.window)
+        ends = np.fromiter((e for e, _ in self.machine.iter(spelt(hashes))), np.int64)
+        begin = ends[ends % LETTERS == LETTERS - 1] // LETTERS - self.phrase + 1
+        # windows that hold the whole block beginning there
+        low, high = np.maximum(begin + self.block - self.window, 0), np.minimum(begin, n - self.window)
         ok = low <= high
+        if not ok.any():
+            return np.zeros(n, bool)
         change = np.bincount(low[ok], minlength=n + 2) - np.bincount(high[ok] + 1, minlength=n + 2)
         starts = np.flatnonzero(np.cumsum(change[:n]) > 0)
         keys = tk.Grams(hashes).at(starts, self.window)
@@ -196,7 +205,7 @@ class Automaton:
         return tk.covered(starts[hit], self.window, n)
 
 
-def stream(dealt: DataFrame, window: int, id_col: str) -> DataFrame:
+def stream(dealt: DataFrame, window: int, phrase: int, id_col: str) -> DataFrame:
     """Rows ``(shard, kind, id, text)``, sorted: each shard's passages (kind 0), then its documents (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +218,7 @@ def stream(dealt: DataFrame, window: int, id_col: str) -> DataFrame:
                 out = []
                 for r in range(lo, hi):
                     if shards[r] != shard:
-                        shard, machine = shards[r], Automaton(window)
+                        shard, machine = shards[r], Automaton(window, phrase)
                     a, b = w.bounds[r - lo], w.bounds[r - lo + 1]
                     if kinds[r] == 0:
                         machine.add(ids[r], hashes[a:b])
@@ -262,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep_text:
         dealt = dealt.withColumn("kept_text", F.lit(None).cast("string"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    out = stream(dealt, window, id_col)
+    out = stream(dealt, window, phrase, id_col)
     return out if keep_text else out.drop("kept_text")
 
 
