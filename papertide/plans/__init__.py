@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+from . import analytics  # noqa: E402, F401  registers the queries
