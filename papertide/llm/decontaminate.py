@@ -314,8 +314,8 @@ def decontaminate_filter(docs: DataFrame, bench: DataFrame, id_col: str = "doc_i
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
     found = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), bench, "key", "text")
-    bad = found.where("contaminated").select(F.col("key.id").alias("bad_id"), F.col("key.digest").alias("bad_digest")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_col) == F.col("bad_digest")), "left_anti")
+    bad = found.where("contaminated").select(F.col("key.id").alias("__bad_id"), F.col("key.digest").alias("__bad_digest")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_digest")), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

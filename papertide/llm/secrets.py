@@ -95,10 +95,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     found = found.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("__found")).select(F.col("key.id").alias("__id"), F.col("key.digest").alias("__digest"), "__found")
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest")), "left")
     text = replaced(F.col(text_col), F.coalesce("__found", F.array().cast(NONE)), lambda s: F.lit("[SECRET]"))
-    changed = {text_col: text}
+    # under another name first: inside a lambda the old text's name would mean the new one
+    done = joined.select(*docs.columns, text.alias("__text"), F.col("__found").isNotNull().alias("__changed"))
+    new = {text_col: F.col("__text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("__changed"), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

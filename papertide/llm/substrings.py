@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = found.where("id = first").groupBy("segment").agg(F.collect_list(F.struct("block", "mask")).alias("bits"))
     passages = stored(find_passages(segments.join(own, "segment").select("id", "text", "bits"), window))
 
-    shards = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     needed = found.where("first < id").select("first", shard).distinct()
     sent = passages.join(needed, passages["id"] == needed["first"]).select("shard", F.lit(0).alias("kind"), passages["id"], "text")
