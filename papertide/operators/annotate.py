@@ -20,8 +20,9 @@ from ..functions.variant import coerced, salvaged
 from ..schemas import ANNOTATION
 from .cache import missing
 
-#: What an error about a prompt's length says, in words that servers use.
-CONTEXT = re.compile(r"(?is)maximum context length is (\d+).*?(\d+)[^0-9]*(?:input tokens|in the messages|tokens in)")
+# Fixed value: what servers say when a prompt and the wanted answer exceed the context.
+CONTEXT = re.compile(r"(?is)maximum context length is (\d+).*?contains at least (\d+) input tokens")
+MARGIN = 128
 
 
 class Annotator(Protocol):
@@ -73,7 +74,7 @@ def room_left(error: str) -> int | None:
     m = CONTEXT.search(error)
     if not m:
         return None
-    left = int(m[1]) - int(m[2]) - 128
+    left = int(m[1]) - int(m[2]) - MARGIN
     return left if left > 0 else None
 
 

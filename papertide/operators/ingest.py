@@ -65,10 +65,24 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
 
 def rich_fields(raw: DataFrame) -> DataFrame:
-    """Which of the full view's fields came back, as booleans."""
-    core = at(F.col("payload"), ROOT)
-    paths = {"abstract": ("coredata", "dc:description"), "authkeywords": ("authkeywords",), "idxterms": ("idxterms",), "authors": ("authors",), "affiliation": ("affiliation",), "references": ("item", "bibrecord", "tail", "bibliography")}
-    return raw.select("eid", *(at(core, *p).isNotNull().alias(f"has_{n}") for n, p in paths.items()))
+    """Whether a record came at all, and which of the full view's fields came with it."""
+    payload, core = F.col("payload"), at(F.col("payload"), ROOT)
+    ok = F.coalesce(is_object(payload) & at(payload, "_error").isNull(), F.lit(False))
+    bib = at(core, "item", "bibrecord", "tail", "bibliography")
+    return raw.select(
+        "eid",
+        ok.alias("ok"),
+        (F.coalesce(string_at(core, "coredata", "dc:description"), F.lit("")) != "").alias("has_abstract"),
+        at(core, "authkeywords").isNotNull().alias("has_author_keywords"),
+        at(core, "affiliation").isNotNull().alias("has_affiliations"),
+        (is_object(bib) & (F.coalesce(F.try_variant_get(bib, "$", "string"), F.lit("{}")) != "{}")).alias("has_references"),
+    )
+
+
+def compare_views(full: DataFrame, meta: DataFrame) -> DataFrame:
+    """Diagnostic: the abstract's length in two views of the same papers, and what the fuller one adds."""
+    long = lambda df, name: df.select("eid", F.length(F.coalesce(string_at(F.col("payload"), ROOT, "coredata", "dc:description"), F.lit(""))).alias(name))
+    return long(full, "full_length").join(long(meta, "meta_length"), "eid", "full_outer").withColumn("gained", F.coalesce("full_length", F.lit(0)) - F.coalesce("meta_length", F.lit(0)))
 
 
 def normalize(records: DataFrame, as_of_year: int) -> dict[str, DataFrame]:

@@ -22,6 +22,10 @@ from ..config import ClusterSettings
 from .text import ctfidf
 
 
+#: Fixed value: what noise is called.
+OUTLIERS = "Outliers / unclustered"
+
+
 def l2_normalized(v: Column) -> Column:
     """Unit length in single precision; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -183,16 +187,17 @@ def nearest_topic(vectors: DataFrame, centres: DataFrame, id_col: str, vector_co
 
 
 def discover_topics(papers: DataFrame, vectors: DataFrame, settings: ClusterSettings = ClusterSettings()) -> tuple[DataFrame, DataFrame]:
-    """``(papers ++ topic, umap_x, umap_y, topic_label, topic summary)`` from ``papers(eid, title, citedby_count, doc)`` and ``vectors(eid, vector)``.
+    """Papers with ``topic, umap_x, umap_y, topic_label``, and the topics' summary.
 
-    Without an annotator a topic is called after its number and described by
-    its first five terms; noise is called ``Outliers``.
+    Takes ``papers(eid, title, citedby_count, doc)`` and ``vectors(eid, vector)``.
+    A topic is called after its number and described by its first five terms;
+    ``relabelled`` puts a model's names in their place.
     """
     n = vectors.limit(settings.components + 3).count()
     low = project(vectors, "eid", "vector", max(2, min(settings.components, n - 2)))
     topics = density_clusters(low, "eid", "low", settings.min_cluster_size)
     placed = topics.join(low, "eid").select("eid", "topic", F.element_at("low", 1).alias("umap_x"), F.element_at("low", 2).alias("umap_y"))
-    label = F.when(F.col("topic") < 0, "Outliers / miscellaneous").otherwise(F.concat(F.lit("Topic "), F.col("topic")))
+    label = F.when(F.col("topic") < 0, OUTLIERS).otherwise(F.concat(F.lit("Topic "), F.col("topic")))
     out = papers.join(placed, "eid").withColumn("topic_label", label)
     return out, topic_summary(out, settings.top_terms)
 
@@ -204,4 +209,11 @@ def topic_summary(topics: DataFrame, top_terms: int = 12, top_titles: int = 5) -
     order = W.partitionBy("topic").orderBy(F.desc("citedby_count"), "eid")
     titles = topics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_titles).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]).alias("titles"))
     out = sums.join(terms, "topic", "left").join(titles, "topic", "left")
-    return out.select("topic", "label", F.array_join(F.slice("terms", 1, 5), ", ").alias("summary"), "n_papers", "total_citations", F.array_join("terms", ", ").alias("top_terms"), F.array_join("titles", " | ").alias("rep_titles")).orderBy(F.desc("n_papers"), "topic")
+    return out.select("topic", "label", F.when(F.col("topic") < 0, "").otherwise(F.array_join(F.slice("terms", 1, 5), ", ")).alias("summary"), "n_papers", "total_citations", F.array_join("terms", ", ").alias("top_terms"), F.array_join("titles", " | ").alias("rep_titles")).orderBy(F.desc("n_papers"), "topic")
+
+
+def relabelled(summary: DataFrame, names: DataFrame) -> DataFrame:
+    """Topic summaries with the labels and summaries of ``names(topic, label, summary)``; noise keeps its own."""
+    new = names.where("topic >= 0").select("topic", F.col("label").alias("__label"), F.col("summary").alias("__summary"))
+    out = summary.join(new, "topic", "left").withColumn("label", F.coalesce("__label", "label")).withColumn("summary", F.coalesce("__summary", "summary"))
+    return out.select(summary.columns).orderBy(F.desc("n_papers"), "topic")
