@@ -206,24 +206,26 @@ def look_up(block: Block, lists: Lists, bounds: np.ndarray, slop: int = NEAR_SLO
         hit_w.append(which[same])
         hit_p.append(begin[same])
 
-    # a window of which at most `window - near_words` terms are missing has one of that many and one more rarest there
+    # where at most `window - near_words` terms are missing, one of that many and one more rarest is there, up to `slop` off
     whole = np.flatnonzero(block.long == window)
     for k in range(window - near_words + 1):
         rank = order[whole, k] if width == window else empty
         w = whole[lists.size[terms[whole, rank]] > 0] if len(rank) else empty
-        for part in _slices(lists.size[terms[w, order[w, k]]]) if len(w) else ():
+        for part in _slices((2 * slop + 1) * lists.size[terms[w, order[w, k]]]) if len(w) else ():
             v = w[part]
-            which, begin = _expand(lists, terms[v, order[v, k]], order[v, k])
-            which = v[which]
+            own = order[v, k]
+            which, begin = _expand(lists, terms[v, own], own)
+            row = row_of(begin + own[which])
+            which, row = np.repeat(v[which], 2 * slop + 1), np.repeat(row, 2 * slop + 1)
+            begin = (begin[:, None] + np.arange(-slop, slop + 1)).ravel()
             count, left = np.ones(len(which), np.int64), window - 1
             for j in (j for j in range(window) if j != k):
                 left -= 1
                 off = order[which, j]
                 at = begin + off
-                count += lists.has(terms[which, off], at - slop, at + slop)
+                count += lists.has(terms[which, off], np.maximum(at - slop, bounds[row]), np.minimum(at + slop, bounds[row + 1] - 1))
                 live = count + left >= near_words
-                which, begin, count = which[live], begin[live], count[live]
-            row = row_of(np.maximum(begin, 0))
+                which, begin, row, count = which[live], begin[live], row[live], count[live]
             near_w.append(which)
             near_r.append(row)
     return tuple(np.concatenate(x) for x in (hit_w, hit_p, near_w, near_r))
@@ -319,4 +321,4 @@ def decontaminate_filter(docs: DataFrame, bench: DataFrame, id_col: str = "doc_i
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import mixing, oracles, urls
 from .decontaminate import op8_decontamination
 from .language import op2_language_id
 from .mixing import op6_mixing
@@ -28,7 +28,10 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op2_language_id": op2_language_id,
+    "op1_quality_rules": oracles.QUALITY,
     "op3_url_filters": urls.SQL,
+    "op4_repeats": oracles.REPEATS,
+    "op5_quotation_linking": oracles.QUOTATIONS,
     "op6_mixing": mixing.SQL,
+    "op8_decontamination": oracles.DECONTAMINATION,
 }
