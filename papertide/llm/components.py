@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 #: A label that many nodes carry is looked up in so many places.
 SALTS = 64
@@ -29,8 +29,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = state.join(near, "node").select("node", "own", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         step = stored(step)
+        discard(state)
         changed = step.where("label != was").limit(1).count()
         if not changed:
+            discard(both)
             break
         # the labels in use are few; where a label's owner has itself moved on, follow it
         owners = step.select(F.col("own").alias("label"), F.col("label").alias("next")).where("label != next")
@@ -38,5 +40,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         wide = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = step.select("node", "own", "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
         state = stored(salted.join(wide, ["label", "salt"], "left").select("node", "own", F.coalesce("next", "label").alias("label")))
+        discard(step)
     done = step.select("node", F.col("label").alias("found"))
     return nodes.join(done, "node", "left").select("node", F.coalesce("found", "label").alias("label"))

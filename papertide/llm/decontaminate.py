@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import stored, table
+from .shared import discard, stored, table
 
 WINDOW = 10
 SHARD_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
@@ -296,6 +296,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     hits = hits.select("shard", "row", "spans", "items", "n_near").mapInArrow(count, "shard bigint, row int, spans bigint, items array<string>, n_near int")
     base = index.select("shard", F.posexplode(F.arrays_zip(F.col("ids"), F.col("counts"))).alias("row", "d")).select("shard", "row", F.col("d.ids").alias(id_col), F.col("d.counts").cast("bigint").alias("n_words"))
+    base = stored(base)
+    discard(index)
     items = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(hits, ["shard", "row"], "left").select(
         id_col,

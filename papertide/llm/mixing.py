@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, table
+from .shared import WORD, discard, stored, table
 
 WEIGHTS = (5, 2, 1)
 #: The mix is so many halves of all sizes, and no source exceeds so many times its own.
@@ -64,8 +64,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = stored(targets(buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), weights, halves, epochs))
     prior = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = buckets.withColumn("prior", prior).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "prior")
-    plan = plan.withColumnRenamed("source", "t")
-    offsets = stored(offsets.join(plan, F.col("s").eqNullSafe(F.col("t"))).drop("t"))
+    offsets = stored(offsets.join(plan.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t"))
+    discard(buckets, plan)
 
     placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     within = W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)

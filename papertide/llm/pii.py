@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import discard, stored, table
 from .spans import NONE, in_order, matches, n_of, replaced, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -110,6 +110,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     corpus = corpus.groupBy(F.lower("word").alias("term")).agg(F.sum("n").alias("n_corpus"))
     telling = pairs.join(corpus, "term").where(F.log2(F.col("n_near") / F.col("n_corpus")) >= -bits).select("entity", "term")
     telling = stored(telling)
+    discard(pairs)
     terms = met.join(telling, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("span").alias("terms"))
     base = in_order(F.col("base"), KINDS)
     every = in_order(F.concat("base", F.coalesce("terms", F.array().cast(NONE))), KINDS)

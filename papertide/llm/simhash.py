@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import connected_components
-from .shared import stored, table
+from .shared import discard, stored, table
 
 SHINGLE, BITS, SEED = 3, 2, 42
 SLICE_BYTES = 1 << 20
@@ -195,6 +195,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = owners.select(F.col("fp").alias("node"), F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp")).alias("label"))
     links = fingerprint_links(owners.select("fp"), bits)
     comps = stored(connected_components(nodes, links).select(F.col("node").alias("fp"), F.col("label.id").alias("component_id")))
+    discard(owners)
     return prints.join(comps, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

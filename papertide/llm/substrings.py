@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import stored, table
+from .shared import discard, stored, table
 
 WINDOW, PHRASE = 50, 10
 SLICE_BYTES = 1 << 19
@@ -253,15 +253,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = stored(find_anchors(named, window, phrase))
     recurring = stored(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     lists = stored(anchors.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
+    discard(anchors, recurring)
     marked = named.join(lists, "id").select("id", "text", "anchors")
     segments = stored(find_segments(marked, window, phrase).withColumn("segment", F.monotonically_increasing_id()))
+    discard(lists)
     each = segments.select("segment", "id", F.posexplode("windows").alias("at", "key"))
     firsts = each.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     firsts = stored(firsts)
     found = each.join(firsts, "key").groupBy("segment", "id", "first", (F.col("at") / 64).cast("int").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("mask"))
     found = stored(found)
+    discard(firsts)
     own = found.where("id = first").groupBy("segment").agg(F.collect_list(F.struct("block", "mask")).alias("bits"))
     passages = stored(find_passages(segments.join(own, "segment").select("id", "text", "bits"), window))
+    discard(segments)
 
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
