@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: What separates words in most contracts: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Nothing reads the shuffles behind a written table again.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Nothing reads the shuffles behind a written table again; Python workers get texts in batches of some megabytes.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
