@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import discard, stored, table
+from .shared import discard, sent, stored, table
 
 WINDOW = 10
 SHARD_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
@@ -233,10 +233,10 @@ def look_up(block: Block, lists: Lists, bounds: np.ndarray, slop: int = NEAR_SLO
 
 def _block_hits(index: DataFrame, block: Block, window: int) -> DataFrame:
     """``(shard, row, spans, items, near)`` for rows with a match; spans are pairs of first word and end."""
-    sent = index.sparkSession.sparkContext.broadcast(block)
+    received = sent(index.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = sent.value
+        b = received()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, counts, terms, ends, postings = (batch.column(c)[i] for c in ("shard", "counts", "terms", "ends", "postings"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import table
+from .shared import sent, table
 
 #: Which languages are closely related; any other value is a family of its own.
 FAMILIES = {
@@ -198,10 +198,10 @@ def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
     text if there was nothing to learn from.  Rows are judged one by one.
     """
     flat = docs.select(docs[id_col], docs[text_col])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    received = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received()
         for batch in batches:
             data, cuts = tk.column_bytes(batch.column(1))
             for lo, hi in tk.chunks(cuts, SLICE_BYTES):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,15 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of bounded size; call the result in a task to get it.
+
+    It travels as bytes with its classes, which Spark's own pickling leaves out.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would fold other alphabets too."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = sent.unionByName(flat.select(shard, F.lit(1).alias("kind"), "id", "text"))
     if keep_text:
         dealt = dealt.withColumn("kept_text", F.lit(None).cast("string"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
     out = stream(dealt, window, phrase, id_col)
     return out if keep_text else out.drop("kept_text")
 
