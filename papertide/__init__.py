@@ -1 +1,11 @@
-"""Spark-native publication-trend analytics."""
+"""Spark-native publication-trend analytics.
+
+Functions and classes of this package that run in Python workers are pickled
+by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ differ in some words, and so do the terms then found.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -69,7 +70,8 @@ def ctfidf(docs: DataFrame, cluster_col: str = "cluster", order_col: str = "eid"
     The noise cluster -1 counts as a cluster.  Ties by term.  ``top_n`` None
     gives all terms without a rank.
     """
-    tf = cluster_terms(docs, cluster_col, order_col, text_col, stop_words)
+    # read three times: the texts are not to be cut up as often
+    tf = cluster_terms(docs, cluster_col, order_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     totals = tf.groupBy("cluster").agg(F.sum("tf").alias("in_cluster"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = totals.agg(F.count("*")).scalar()
