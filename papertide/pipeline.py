@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import annotate, facts, influence, ingest, taxonomy, trends
+from .operators import annotate, cache, candidates, facts, influence, ingest, taxonomy, trends
+from .sources import rest, tables
 
 
 @dataclass
@@ -22,6 +24,22 @@ class Results:
     facts: DataFrame
 
 
+def acquire(hits: DataFrame, store: cache.CacheTable, url: str, fetch: rest.Fetch = rest.http_fetch) -> tuple[DataFrame, DataFrame]:
+    """Candidates and parsed records from search hits ``(ord, payload)``; only ids that the cache lacks are looked up, failed ones once."""
+    found = candidates.candidates(hits.withColumn("payload", F.try_parse_json("payload")))
+    wanted = found.where("scopus_id <> ''").select(F.concat(F.lit("sid:"), "scopus_id").alias("key"), "scopus_id").distinct()
+    store.append(rest.look_up(cache.missing(wanted, store.read()), url, fetch))
+    return found, ingest.enrich(found, store.read())
+
+
+def save_all(results: Results, path: str) -> list[str]:
+    """Tables as Parquet, trends and influence as CSV where they have rows, facts and narrative as text; returns the CSV names."""
+    tables.save_tables(results.tables, f"{path}/tables")
+    written = tables.save_csv(results.trends, f"{path}/tables", "trend") + tables.save_csv(results.influence, f"{path}/tables", "influence")
+    tables.save_facts(results.facts, f"{path}/report", narrative(results.facts.first()[0]))
+    return written
+
+
 def run_all(records: DataFrame, settings: Settings, annotator: annotate.Annotator | None = None) -> Results:
     """Parsed records to every result.
 

@@ -173,3 +173,24 @@ def test_whole_pipeline(raw):
     assert "| 2021 | 1 | 12 |" in pipeline.narrative(json.dumps(doc))
     for df in (*r.trends.values(), *r.influence.values()):
         df.collect()
+
+
+def test_acquire_and_save(spark, tmp_path):
+    asked = f"{tmp_path}/asked"
+
+    def fetch(url, params):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        return (200, {}, json.dumps({ingest.ROOT: FULL})) if url.endswith("/77") else (404, {}, "gone")
+
+    hits = spark.createDataFrame([(i, json.dumps({"eid": f"2-s2.0-{n}", "dc:identifier": f"SCOPUS_ID:{n}"})) for i, n in enumerate((77, 78, 77))], "ord long, payload string")
+    store = cache.CacheTable(spark, f"file://{tmp_path}/cache")
+    for _ in range(2):
+        found, records = pipeline.acquire(hits, store, "u", fetch)
+        assert found.count() == 2 and [r.title for r in records.collect()] == ["Deep learning of texture"]
+    assert sorted(open(asked).read().split()) == ["u/77", "u/78"]
+    results = pipeline.run_all(records, Settings(as_of_year=2024))
+    names = pipeline.save_all(results, f"file://{tmp_path}/out")
+    assert "papers_per_year" in names and "author_influence" in names and "keyword_bursts" not in names
+    assert spark.read.parquet(f"file://{tmp_path}/out/tables/labeled.parquet").count() == 1
+    assert (tmp_path / "out" / "report_facts.json").exists() and (tmp_path / "out" / "report.md").exists()
