@@ -3,8 +3,10 @@
 1. Anchors.  Every window of 50 words picks one of its 10-word phrases, that
    with the smallest hash, so equal windows pick equal phrases, one in about
    twenty.  Phrases met in two documents are counted by hash.
-2. Confirmation.  Where a window's phrase recurs, the window itself is hashed;
-   a window in two documents recurs, and its first document is known.
+2. Confirmation.  Where a window's phrase recurs, the window itself is hashed.
+   Neighbouring windows that pick the same phrase form a span; equal spans are
+   merged before their windows are compared, so copies cost no more than one.
+   A window in two documents recurs, and its first document is known.
 3. Passages.  In its first document a recurring window lies in a run of such
    windows: these runs, each kept once, hold every recurring window.
 4. Automata.  Documents are dealt into shards.  A shard gets the passages whose
@@ -97,7 +99,11 @@ def find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def find_segments(marked: DataFrame, window: int, phrase: int) -> DataFrame:
-    """``marked(id, text, anchors)`` to ``(id, text, windows)``: runs of windows whose phrase is among the anchors."""
+    """``marked(id, text, anchors)`` to ``(id, text, windows, cuts, keys)``.
+
+    A row for each run of windows whose phrase is among the anchors; spans
+    begin at ``cuts`` and are equal where their ``keys`` are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +119,7 @@ def find_segments(marked: DataFrame, window: int, phrase: int) -> DataFrame:
                 first = ends[lo] - sizes[lo]
                 mine = known[first : ends[hi - 1]] ^ np.repeat(salt, sizes[lo:hi])
                 hit = np.isin(anchors ^ salt[row], mine)
-                starts, row = starts[hit], row[hit]
+                starts, row, anchors = starts[hit], row[hit], anchors[hit]
                 if not len(starts):
                     continue
                 new = np.append(True, (np.diff(starts) != 1) | (np.diff(row) != 0))
@@ -122,22 +128,29 @@ def find_segments(marked: DataFrame, window: int, phrase: int) -> DataFrame:
                 buffer, left, right = _joined(w)
                 texts = [buffer[a:b].tobytes() for a, b in zip(left[starts[begin]], right[starts[end] + window - 1], strict=True)]
                 windows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(starts)), pa.int32()), pa.array(grams.at(starts, window).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row[begin])), pa.array(texts, pa.binary()).cast(pa.string()), windows], names=["id", "text", "windows"])
+                # a span ends where its run does or the next window picks another phrase
+                cut = np.flatnonzero(new | np.append(True, anchors[1:] != anchors[:-1]))
+                size = np.diff(np.append(cut, len(starts)))
+                keys = grams.at(starts[cut], size + window - 1) ^ tk.mix(size.astype(np.uint64))
+                which = np.searchsorted(begin, cut, "right") - 1
+                edges = pa.array(np.searchsorted(which, np.arange(len(begin) + 1)), pa.int32())
+                columns = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in ((cut - begin[which]).astype(np.int32), keys.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row[begin])), pa.array(texts, pa.binary()).cast(pa.string()), windows, *columns], names=["id", "text", "windows", "cuts", "keys"])
 
-    return marked.mapInArrow(run, "id bigint, text string, windows array<bigint>")
+    return marked.mapInArrow(run, "id bigint, text string, windows array<bigint>, cuts array<int>, keys array<bigint>")
 
 
 def find_passages(owned: DataFrame, window: int) -> DataFrame:
-    """``owned(id, text, bits)`` to ``(id, text)``: runs of windows marked in bits, as pairs (block, 64 bits)."""
+    """``owned(id, text, bits)`` to ``(id, text)``: runs of windows marked in bits, as pairs (first window, 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_ids, out_texts = [], []
             for i, text, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.split(" ")
-                mine = np.zeros(64 * (1 + max(b["block"] for b in bits)), bool)
+                mine = np.zeros(64 + max(b["at"] for b in bits), bool)
                 for b in bits:
-                    mine[64 * b["block"] : 64 * b["block"] + 64] |= np.unpackbits(np.array([b["mask"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
+                    mine[b["at"] : b["at"] + 64] |= np.unpackbits(np.array([b["mask"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
                 edge = np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                     out_ids.append(i)
@@ -257,19 +270,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = named.join(lists, "id").select("id", "text", "anchors")
     segments = stored(find_segments(marked, window, phrase).withColumn("segment", F.monotonically_increasing_id()))
     discard(lists)
-    each = segments.select("segment", "id", F.posexplode("windows").alias("at", "key"))
-    firsts = each.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    last = F.coalesce(F.try_element_at("cuts", F.col("nth") + 2), F.size("windows"))
+    spans = segments.select("segment", "id", "windows", "cuts", "keys", F.posexplode("cuts").alias("nth", "cut"))
+    spans = spans.select("segment", "id", "cut", F.element_at("keys", F.col("nth") + 1).alias("span"), F.slice("windows", F.col("cut") + 1, last - F.col("cut")).alias("windows"))
+    # equal spans once, with their first and last documents
+    merged = stored(spans.groupBy("span").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.any_value("windows").alias("windows")))
+    firsts = merged.select("a", "b", F.explode("windows").alias("key")).groupBy("key").agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first < last").select("key", "first")
     firsts = stored(firsts)
-    found = each.join(firsts, "key").groupBy("segment", "id", "first", (F.col("at") / 64).cast("int").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("mask"))
-    found = stored(found)
-    discard(firsts)
-    own = found.where("id = first").groupBy("segment").agg(F.collect_list(F.struct("block", "mask")).alias("bits"))
+    each = merged.select("span", "a", F.posexplode("windows").alias("at", "key")).join(firsts, "key")
+    found = stored(each.groupBy("span", "a", "first", (F.col("at") / 64).cast("int").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("mask")))
+    discard(firsts, merged)
+    # a window is kept from its first document, in whose spans it lies
+    where = spans.select("segment", "id", "cut", "span")
+    own = where.join(found.where("a = first").select("span", F.col("a").alias("id"), "block", "mask"), ["span", "id"])
+    own = own.groupBy("segment").agg(F.collect_list(F.struct((F.col("cut") + 64 * F.col("block")).alias("at"), "mask")).alias("bits"))
     passages = stored(find_passages(segments.join(own, "segment").select("id", "text", "bits"), window))
-    discard(segments)
-
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    needed = found.where("first < id").select("first", shard).distinct()
+    needed = stored(where.join(found.select("span", "first").distinct(), "span").where("first < id").select("first", shard).distinct())
+    discard(segments, found)
+
     sent = passages.join(needed, passages["id"] == needed["first"]).select("shard", F.lit(0).alias("kind"), passages["id"], "text")
     dealt = sent.unionByName(flat.select(shard, F.lit(1).alias("kind"), "id", "text"))
     if keep_text:

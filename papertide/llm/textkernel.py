@@ -136,7 +136,7 @@ class Grams:
         self.prefix = np.zeros(len(hashes) + 1, U64)
         np.cumsum(hashes * WORD_POWERS.get(len(hashes))[0], out=self.prefix[1:])
 
-    def at(self, starts: np.ndarray, n: int) -> np.ndarray:
+    def at(self, starts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
         return mix((self.prefix[starts + n] - self.prefix[starts]) * WORD_POWERS.get(len(self.prefix))[1][starts])
 
 
