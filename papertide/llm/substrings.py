@@ -267,7 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     recurring = stored(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     lists = stored(anchors.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     discard(anchors, recurring)
-    marked = named.join(lists, "id").select("id", "text", "anchors")
+    # lists are a small part of their texts: hashed, so that no text is sorted
+    marked = named.join(lists.hint("shuffle_hash"), "id").select("id", "text", "anchors")
     segments = stored(find_segments(marked, window, phrase).withColumn("segment", F.monotonically_increasing_id()))
     discard(lists)
     last = F.coalesce(F.try_element_at("cuts", F.col("nth") + 2), F.size("windows"))
