@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import discard, sent, stored, table
+from .shared import discard, map_batches, sent, stored, table
 
 WINDOW = 10
 SHARD_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
                 shard += 1
 
-    return stored(flat.mapInArrow(run, f"shard bigint, ids array<{kind}>, counts array<int>, terms binary, ends binary, postings binary"))
+    return stored(map_batches(flat, run, f"shard bigint, ids array<{kind}>, counts array<int>, terms binary, ends binary, postings binary"))
 
 
 def _token_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +255,7 @@ def _block_hits(index: DataFrame, block: Block, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "row", "spans", "items", "near"])
 
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
-    return index.select("shard", "counts", "terms", "ends", "postings").mapInArrow(run, "shard bigint, row int, spans array<int>, items array<string>, near array<string>")
+    return map_batches(index.select("shard", "counts", "terms", "ends", "postings"), run, "shard bigint, row int, spans array<int>, items array<string>, near array<string>")
 
 
 def _items(b: Block, windows: np.ndarray) -> list[str]:
@@ -294,7 +294,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         for batch in batches:
             yield batch.set_column(2, "spans", pa.array(_n_covered(batch.column(2)), pa.int64()))
 
-    hits = hits.select("shard", "row", "spans", "items", "n_near").mapInArrow(count, "shard bigint, row int, spans bigint, items array<string>, n_near int")
+    hits = map_batches(hits.select("shard", "row", "spans", "items", "n_near"), count, "shard bigint, row int, spans bigint, items array<string>, n_near int")
     base = index.select("shard", F.posexplode(F.arrays_zip(F.col("ids"), F.col("counts"))).alias("row", "d")).select("shard", "row", F.col("d.ids").alias(id_col), F.col("d.counts").cast("bigint").alias("n_words"))
     base = stored(base)
     discard(index)

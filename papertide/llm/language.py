@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import sent, table
+from .shared import map_batches, sent, table
 
 #: Which languages are closely related; any other value is a family of its own.
 FAMILIES = {
@@ -180,7 +180,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                 x = frequencies(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "draw", "x"])
 
-    found = sorted(rows.mapInArrow(features, "lang string, draw double, x binary").collect(), key=lambda r: (r["lang"], r["draw"], bytes(r["x"])))
+    found = sorted(map_batches(rows, features, "lang string, draw double, x binary").collect(), key=lambda r: (r["lang"], r["draw"], bytes(r["x"])))
     taken: dict[str, int] = {}
     x, labels = [], []
     for r in found:
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
                 langs, score = m.predict(decisions(part, ends, m.weights)) if m else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x if k else UNKNOWN for x, k in zip(langs, known, strict=True)]), pa.array(np.where(known, score, 0.0))], names=[id_col, "lang_pred", "score"])
 
-    return flat.mapInArrow(run, f"`{id_col}` {flat.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(flat, run, f"`{id_col}` {flat.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textkernel as tk
-from .shared import table
+from .shared import map_batches, table
 
 #: Largest share of word characters inside duplicated n-grams, by n.
 GRAM_LIMITS = {5: 0.30, 7: 0.25, 10: 0.20}
@@ -108,7 +108,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     out_names = [id_col, *names[:5], "base_failed", "kept", *names[5:]]
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'bigint'}" for n in out_names[1:])
-    return flat.mapInArrow(judge, schema)
+    return map_batches(flat, judge, schema)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", gram_limits: dict[int, float] = GRAM_LIMITS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -121,7 +121,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", gram_limits: dict[in
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

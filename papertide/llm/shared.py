@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import tempfile
@@ -9,9 +10,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words in most contracts: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +66,16 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` by functions that come by value: what the task before left in cycles is collected first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
+
+
 def sent(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast an object of bounded size; call the result in a task to get it.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import connected_components
-from .shared import discard, stored, table
+from .shared import discard, map_batches, stored, table
 
 SHINGLE, BITS, SEED = 3, 2, 42
 SLICE_BYTES = 1 << 20
@@ -92,7 +92,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 fp = fingerprints(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return flat.mapInArrow(run, f"id {flat.schema[0].dataType.simpleString()}, fp bigint")
+    return map_batches(flat, run, f"id {flat.schema[0].dataType.simpleString()}, fp bigint")
 
 
 def position_sets(bits: int) -> list[int]:
@@ -178,7 +178,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             a, b = list_links(flat, which, bits, free[choice])
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return lists.mapInArrow(link, "a bigint, b bigint")
+    return map_batches(lists, link, "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import discard, stored, table
+from .shared import discard, map_batches, stored, table
 
 WINDOW, PHRASE = 50, 10
 SLICE_BYTES = 1 << 19
@@ -95,7 +95,7 @@ def find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 new = np.append(True, (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]))[: len(row)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), ids.take(pa.array(lo + row[new]))], names=["anchor", "id"])
 
-    return docs.mapInArrow(run, "anchor bigint, id bigint")
+    return map_batches(docs, run, "anchor bigint, id bigint")
 
 
 def find_segments(marked: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -137,7 +137,7 @@ def find_segments(marked: DataFrame, window: int, phrase: int) -> DataFrame:
                 columns = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in ((cut - begin[which]).astype(np.int32), keys.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row[begin])), pa.array(texts, pa.binary()).cast(pa.string()), windows, *columns], names=["id", "text", "windows", "cuts", "keys"])
 
-    return marked.mapInArrow(run, "id bigint, text string, windows array<bigint>, cuts array<int>, keys array<bigint>")
+    return map_batches(marked, run, "id bigint, text string, windows array<bigint>, cuts array<int>, keys array<bigint>")
 
 
 def find_passages(owned: DataFrame, window: int) -> DataFrame:
@@ -158,7 +158,7 @@ def find_passages(owned: DataFrame, window: int) -> DataFrame:
             if out_ids:
                 yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_texts, pa.string())], names=["id", "text"])
 
-    return owned.mapInArrow(run, "id bigint, text string")
+    return map_batches(owned, run, "id bigint, text string")
 
 
 def spelt(hashes: np.ndarray) -> str:
@@ -250,7 +250,7 @@ def stream(dealt: DataFrame, window: int, phrase: int, id_col: str) -> DataFrame
     keep_text = "kept_text" in dealt.columns
     names = [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return dealt.mapInArrow(run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return map_batches(dealt, run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, keep_text: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ with a probability of about 2**-64 for each pair.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +38,22 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of a base and of its inverse modulo 2**64, as long as ever needed."""
+    """Powers of a base and of its inverse modulo 2**64, as long as ever needed.
+
+    The tables belong to the process: a task's own copy of this module would
+    leave its tables behind until the garbage collector comes by.
+    """
 
     def __init__(self, base: int, inverse: int):
-        self.base, self.inverse, self.up, self.down = base, inverse, np.zeros(0, U64), np.zeros(0, U64)
+        self.base, self.inverse = base, inverse
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
+        tables = sys.__dict__.setdefault("_papertide_powers", {})
+        if self.base not in tables or n > len(tables[self.base][0]):
             size = 1 << max(16, (n - 1).bit_length())
-            self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
-        return self.up[:n], self.down[:n]
+            tables[self.base] = _powers(self.base, size), _powers(self.inverse, size)
+        up, down = tables[self.base]
+        return up[:n], down[:n]
 
 
 BYTE_POWERS, WORD_POWERS = Powers(BASE, BASE_INV), Powers(STEP, STEP_INV)
