@@ -259,7 +259,32 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
 
 @query("betweenness")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.betweenness(*graph.coauthor_graph(views.authors(spark, d, views.JANUARY))), 9, "betweenness")
+    return _rounded(graph.betweenness(*graph.coauthor_graph(views.authors(spark, d))), 9, "betweenness")
+
+
+_ON = "(SELECT DISTINCT eid, year, auid FROM authors_v)"
+_EDGES = f"SELECT a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM {_ON} a JOIN {_ON} b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL"
+
+
+@query("coauthor_edges_all", sql(_EDGES))
+def coauthor_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """``coauthor_edges`` over all orders."""
+    return graph.coauthor_graph(views.authors(spark, d))[1]
+
+
+@query(
+    "degree_centrality_all",
+    sql(f"SELECT auid, coalesce(k, 0) / ((SELECT count(DISTINCT auid) FROM authors_v) - 1)::DOUBLE AS degree_centrality FROM (SELECT DISTINCT auid FROM authors_v) LEFT JOIN (SELECT auid, count(*) AS k FROM (SELECT unnest([src, dst]) AS auid FROM ({_EDGES})) GROUP BY auid) USING (auid)"),
+)
+def degree_centrality_all(spark: SparkSession, d: str) -> DataFrame:
+    """``degree_centrality`` over all orders."""
+    return graph.degree_centrality(*graph.coauthor_graph(views.authors(spark, d)))
+
+
+@query("edges_by_year_all", sql(f"SELECT a.year, a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM {_ON} a JOIN {_ON} b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL"))
+def edges_by_year_all(spark: SparkSession, d: str) -> DataFrame:
+    """``edges_by_year`` over all orders, a list of edges for each year."""
+    return graph.edges_by_year(views.authors(spark, d))
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
