@@ -306,11 +306,16 @@ def topic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topics")
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of a stated sample of vectors, every vector with the topic nearest to it."""
+    """Density clusters of all vectors, -1 for noise, with each one's similarity to its cluster's centre; beyond 20,000 vectors refused."""
     e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("eid"), F.col("embedding").alias("vector"))
-    fitted = e.orderBy(F.xxhash64("eid")).limit(2_000)
-    found = vectors.density_clusters(vectors.project(fitted, "eid", "vector", 5), "eid")
-    return vectors.nearest_topic(e, vectors.topic_centres(fitted, found, "eid", "vector"), "eid", "vector").select("eid", "topic", F.bround("similarity", 4).alias("similarity"))
+    return _topics(e)
+
+
+def _topics(e: DataFrame) -> DataFrame:
+    found = vectors.density_clusters(vectors.project(e, "eid", "vector", 5), "eid").localCheckpoint()
+    centres = vectors.topic_centres(e, found, "eid", "vector")
+    near = F.aggregate(F.zip_with(vectors.l2_normalized(F.col("vector")), "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    return e.join(found, "eid").join(centres, "topic", "left").select("eid", "topic", F.bround(near, 4).alias("similarity"))
 
 
 @query("facts_document")
