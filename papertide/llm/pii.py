@@ -7,7 +7,7 @@ entity: PMI(term; entity) = log2 p(entity | term) / p(entity).  Where it comes
 within ``DISCLOSED_BITS`` of the entity's whole information content
 -log2 p(entity), that is where p(entity | term) >= 2**-DISCLOSED_BITS, knowing
 the term nearly tells the entity, so the term is generalised wherever it stands
-near that entity.  Terms seen near an entity in one document only are no
+in the corpus, near an entity or not.  Terms seen near an entity in one document only are no
 evidence and stay.
 """
 
@@ -94,24 +94,29 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     """One row per row of ``docs``: id, counts, ``base_sha256``, ``spans``, ``n_term`` and ``found``.
 
     ``found`` is the array of all spans.  Null and empty texts have none, and
-    texts without an entity get no term spans.  Repeated rows and null ids are
+    texts without an entity have their telling terms found all the same.  Repeated rows and null ids are
     judged row by row; copies of a document are documents of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"), entities(text).alias("base"))
     near = F.transform("base", lambda s: F.struct(F.sha2(entity_value(s), 256).alias("entity"), _near_terms(F.col("text"), s, F.col("base")).alias("terms")))
-    rows = stored(rows.select("row", "id", "base", near.alias("near")))
+    rows = stored(rows.select("row", "id", "text", "base", near.alias("near")))
     met = rows.where(F.size("base") > 0).select("row", F.explode("near").alias("n")).select("row", "n.entity", F.explode("n.terms").alias("span"))
     met = stored(met.select("row", "entity", "span", F.lower("span.value").alias("term")))
     # one row of each document, then one of each term and entity
     pairs = met.groupBy("entity", "term", "row").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_near"))
     pairs = stored(pairs.where(F.col("n_docs") >= support))
-    corpus = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TERM), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    corpus = rows.select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     corpus = corpus.groupBy(F.lower("word").alias("term")).agg(F.sum("n").alias("n_corpus"))
-    telling = pairs.join(corpus, "term").where(F.log2(F.col("n_near") / F.col("n_corpus")) >= -bits).select("entity", "term")
+    telling = pairs.join(corpus, "term").where(F.log2(F.col("n_near") / F.col("n_corpus")) >= -bits).select("term").distinct()
     telling = stored(telling)
-    discard(pairs)
-    terms = met.join(telling, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("span").alias("terms"))
+    discard(pairs, met)
+    # which rows have which telling terms, then where they stand there
+    words = rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    told = stored(words.join(telling, "term").groupBy("row").agg(F.collect_list("term").alias("told")))
+    spans = matches(F.col("text"), "term", TERM, lambda v: F.array_contains("told", F.lower(v)), F.lit(True))
+    apart = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    terms = rows.select("row", "text", "base").join(told, "row").select("row", apart.alias("terms"))
     base = in_order(F.col("base"), KINDS)
     every = in_order(F.concat("base", F.coalesce("terms", F.array().cast(NONE))), KINDS)
     return (
