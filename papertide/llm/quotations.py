@@ -3,7 +3,8 @@
 Lines that begin with ``>`` marks are quotes; the number of marks is the level.
 Runs of lines of one level are passages.  A passage's words, normalised and
 hashed, are looked up among the messages of its conversation: whole bodies
-without quotes and their single lines.  The first message that has them is the
+without quotes, their single lines, and any of their lines that follow each
+other.  The first message that has them is the
 original.  A message replies to the latest original of its outermost quotes;
 messages without a linked quote open a thread.  Conversations come out message
 by message, quotes removed, with the keys of their reply order: threads by
@@ -48,6 +49,11 @@ def passages(lines: Column) -> Column:
     return F.filter(F.aggregate(lines, F.array().cast(f"array<{LINE}>"), step), lambda p: p["level"] > 0)
 
 
+def _said_lines(body: Column) -> Column:
+    """Lines that have words, normalised."""
+    return F.filter(F.transform(F.split(body, "\n"), normal), lambda s: s != "")
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, ``reply_to``, ``thread``, ``n_quotes``, ``n_linked`` and ``formatted``.
 
@@ -65,13 +71,21 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = stored(rows.select("row", "conv", "turn", "role", own.alias("body"), passages(F.col("lines")).alias("quotes")))
 
     asked = rows.where(F.size("quotes") > 0).select("row", "conv", "turn", F.posexplode("quotes").alias("nth", "quote"))
-    asked = stored(asked.select("row", "conv", "turn", "quote.level", "nth", F.sha2(normal(F.col("quote.body")), 256).alias("digest"), (normal(F.col("quote.body")) != "").alias("worded")))
+    asked = stored(asked.select("row", "conv", "turn", "quote.level", "nth", _said_lines(F.col("quote.body")).alias("run"), F.sha2(normal(F.col("quote.body")), 256).alias("digest"), (normal(F.col("quote.body")) != "").alias("worded")))
     # only conversations with a quote are indexed; each passage once, under its first turn
     live = asked.select("conv").distinct()
     said = rows.join(live, "conv", "left_semi").where(F.col("turn").isNotNull())
     told = said.select("conv", "turn", F.explode(F.array_distinct(F.concat(F.array(normal(F.col("body"))), F.transform(F.split("body", "\n"), normal)))).alias("passage")).where("passage <> ''")
     first = stored(told.groupBy("conv", F.sha2("passage", 256).alias("digest")).agg(F.min("turn").alias("original")))
-    linked = asked.where("worded").join(first, ["conv", "digest"]).where("original < turn")
+    # a run of lines is looked up by its first two, and confirmed by the lines from there on
+    pair = lambda lines, i: F.sha2(F.concat_ws("\n", F.element_at(lines, i), F.element_at(lines, i + 1)), 256)
+    runs = asked.where(F.size("run") > 1).select("row", "nth", "conv", "turn", "run", pair(F.col("run"), F.lit(1)).alias("digest"))
+    bodies = said.select("conv", F.col("turn").alias("original"), _said_lines(F.col("body")).alias("said")).where(F.size("said") > 1)
+    starts = bodies.select("conv", "original", "said", F.explode(F.sequence(F.lit(1), F.size("said") - 1)).alias("i"))
+    starts = starts.select("conv", "original", "said", "i", pair(F.col("said"), F.col("i")).alias("digest"))
+    inside = runs.join(starts, ["conv", "digest"]).where((F.col("original") < F.col("turn")) & (F.slice("said", F.col("i"), F.size("run")) == F.col("run"))).select("row", "nth", "original")
+    found = asked.where("worded").join(first, ["conv", "digest"]).where("original < turn").select("row", "nth", "original").union(inside)
+    linked = asked.select("row", "nth", "level").join(found.groupBy("row", "nth").agg(F.min("original").alias("original")), ["row", "nth"])
     by_row = linked.groupBy("row").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("original"))).alias("outer"), F.max("original").alias("any"))
     out = stored(rows.join(by_row, "row", "left").select("row", "conv", "turn", "role", "body", F.size("quotes").cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), F.coalesce("outer", "any").alias("reply_to")))
 
