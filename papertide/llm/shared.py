@@ -85,6 +85,14 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(packed.value)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would fold other alphabets too."""
     return F.translate(c, UPPER, UPPER.lower())

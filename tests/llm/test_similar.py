@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -61,6 +62,46 @@ def test_all_pairs_are_found(spark, common):
     assert sorted(r.id for r in got) == survivors(rows)
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_long_lists_go_by_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(similar, "BLOCK", size)
+    rows = varied()
+    got = similar.similar_components(spark.createDataFrame(rows, COLUMNS)).select("label.id").distinct().collect()
+    assert sorted(r.id for r in got) == survivors(rows)
+
+
+def test_sketches_refuse_no_similar_pair():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 600, dtype=np.uint64)
+    sets = [base[: r.integers(100, 600)] for _ in range(40)] + [np.unique(np.concatenate([base[20:], r.integers(0, 2**63, k, dtype=np.uint64)])) for k in (1, 40, 90, 300)]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    words, edges = similar.sketches(np.concatenate(sets), bounds)
+    n = np.diff(bounds)
+    for side in (np.zeros(len(n), bool), np.arange(len(n)) % 2 == 0):
+        a, b, apart = similar.likely_pairs(n, words, edges, 0.8, side)
+        found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        assert all(d <= len(set(sets[x]) ^ set(sets[y])) for x, y, d in zip(a.tolist(), b.tolist(), apart.tolist(), strict=True))
+        for x, y in itertools.combinations(range(len(sets)), 2):
+            one, two = set(sets[x].tolist()), set(sets[y].tolist())
+            if 5 * len(one & two) >= 4 * len(one | two) and (not side.any() or side[x] != side[y]):
+                assert (x, y) in found
+
+
+def test_forest_connects_what_the_edges_connect():
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 60, 90), r.integers(0, 60, 90)
+    kept = similar.spanning_forest(60, a, b, np.arange(90))
+
+    def parts(x, y):
+        root = list(range(60))
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            old, new = root[i], root[j]
+            root = [new if k == old else k for k in root]
+        return [root.index(k) for k in root], 60 - len(set(root))
+
+    assert parts(a, b)[0] == parts(a[kept], b[kept])[0] and parts(a, b)[1] == kept.sum()
+
+
 def test_stage_finds_near_copies_that_are_many_bits_apart(spark):
     r = random.Random(3)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
