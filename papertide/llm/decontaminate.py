@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import discard, map_batches, sent, stored, table
+from .shared import discard, fresh, map_batches, sent, stored, table
 
 WINDOW = 10
 SHARD_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
@@ -316,10 +316,12 @@ def decontaminate_filter(docs: DataFrame, bench: DataFrame, id_col: str = "doc_i
 
     Rows are told apart by id and text, so null and repeated ids are safe.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
-    found = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), bench, "key", "text")
-    bad = found.where("contaminated").select(F.col("key.id").alias("__bad_id"), F.col("key.digest").alias("__bad_digest")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_digest")), "left_anti")
+    id_, digest = fresh(docs, "bad_id"), fresh(docs, "bad_digest")
+    old = F.col(f"`{text_col}`")
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(old).alias("digest"))
+    found = decontaminate(docs.select(key.alias("key"), old.alias("text")), bench, "key", "text")
+    bad = found.where("contaminated").select(F.col("key.id").alias(id_), F.col("key.digest").alias(digest)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.xxhash64(old) == F.col(digest)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

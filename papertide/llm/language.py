@@ -28,8 +28,8 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "bg", "sr"),
 }
-#: Labelled documents of each language that the fit may use, and how many languages, the most frequent first.
-SAMPLE, MAX_LANGUAGES = 400, 64
+#: Labelled documents that the fit may use: of each language, and in all, shared evenly where there are many languages, but two of each at least.
+SAMPLE, SAMPLE_IN_ALL = 400, 4_000
 DIMS, GRAMS = 4096, (1, 2, 3)
 SLICE_BYTES = 1 << 19
 COST, EPOCHS = 1.0, 30
@@ -42,44 +42,52 @@ SYMBOL[0x41:0x5B] = SYMBOL[0x61:0x7B] = np.arange(0x61, 0x7B)
 SYMBOL[0x80:] = np.arange(0x80, 0x100)
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+BEYOND = np.arange(256) >= 0x80
 
 
-def gram_numbers(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each n the feature number of the n-gram beginning at each byte."""
-    s = SYMBOL[data].astype(np.uint32)
-    for n in GRAMS:
-        if len(s) < n:
-            continue
-        code = np.full(len(s) - n + 1, n, np.uint32)
-        for k in range(n):
-            code = (code << np.uint32(8)) | s[k : len(s) - n + 1 + k]
-        yield n, (code * np.uint32(2654435761)) >> np.uint32(32 - DIMS.bit_length() + 1)
+def gram_numbers(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The feature numbers of the n-grams beginning at each byte, as (n, first byte, numbers), a piece of the text at a time."""
+    for first in range(0, len(data), tk.LONG):
+        s = SYMBOL[data[first : first + tk.LONG + max(GRAMS) - 1]].astype(np.uint32)
+        for n in GRAMS:
+            size = min(tk.LONG, len(s) - n + 1)
+            if size < 1:
+                continue
+            code = np.full(size, n, np.uint32)
+            for k in range(n):
+                code = (code << np.uint32(8)) | s[k : k + size]
+            yield n, first, (code * np.uint32(2654435761)) >> np.uint32(32 - DIMS.bit_length() + 1)
 
 
 def frequencies(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A row of n-gram frequencies for each text; each n sums to one."""
     out = np.zeros((len(cuts) - 1, DIMS), np.float32)
     for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        for _, numbers in gram_numbers(data[a:b]):
-            out[r] += np.bincount(numbers, minlength=DIMS).astype(np.float32) / len(numbers)
+        counts = {n: np.zeros(DIMS, np.int64) for n in GRAMS}
+        for n, _, numbers in gram_numbers(data[a:b]):
+            counts[n] += np.bincount(numbers, minlength=DIMS)
+        for n in GRAMS:
+            out[r] += (counts[n] / max(1, b - a - n + 1)).astype(np.float32)
     return out
 
 
 def decisions(data: np.ndarray, cuts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Frequencies times weights, without building the frequencies."""
     out = np.zeros((len(cuts) - 1, weights.shape[1]))
-    for n, numbers in gram_numbers(data):
-        lo = np.minimum(cuts[:-1], len(numbers))
-        hi = np.maximum(np.minimum(cuts[1:] - n + 1, len(numbers)), lo)
+    many = {n: np.maximum(cuts[1:] - cuts[:-1] - n + 1, 0) for n in GRAMS}
+    for n, first, numbers in gram_numbers(data):
+        lo = np.clip(cuts[:-1] - first, 0, len(numbers))
+        hi = np.clip(cuts[:-1] + many[n] - first, 0, len(numbers))
         for j in range(weights.shape[1]):
-            total = np.concatenate([[0.0], np.cumsum(weights[:, j][numbers], dtype=np.float64)])
-            out[:, j] += (total[hi] - total[lo]) / np.maximum(hi - lo, 1)
+            total = np.zeros(len(numbers) + 1)
+            np.cumsum(weights[:, j][numbers], dtype=np.float64, out=total[1:])
+            out[:, j] += (total[hi] - total[lo]) / np.maximum(many[n], 1)
     return out
 
 
 def has_letter(column: pa.Array, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    found = tk.row_sums(LETTER[data], cuts) > 0
-    maybe = ~found & (tk.row_sums(data >= 0x80, cuts) > 0)
+    found = np.diff(tk.counted(LETTER, data, cuts)[0]) > 0
+    maybe = ~found & (np.diff(tk.counted(BEYOND, data, cuts)[0]) > 0)
     for r in np.flatnonzero(maybe):
         found[r] = any(c.isalpha() for c in column[int(r)].as_py())
     return found
@@ -163,15 +171,16 @@ def fit(x: np.ndarray, labels: list[str]) -> Classifier | None:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Classifier | None:
-    """Fit to at most ``sample`` documents of each language, those with the smallest hashes of their ids."""
+    """Fit to at most ``sample`` documents of each language, fewer where languages are many: those with the smallest hashes of their ids."""
     labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return None
+    sample = max(2, min(sample, SAMPLE_IN_ALL // len(counts)))
     draw = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)).alias("draw")
     # the hash picks somewhat more than the sample; the exact cut is made by order
-    share = F.element_at(F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, (1.3 * sample + 50) / r["count"])))), F.col("lang"))
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw).where(F.col("lang").isin([r["lang"] for r in counts])).where(F.col("draw") < share)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * sample + 20) / r["count"])) for r in counts], "lang string, share double")
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share")).select("lang", "text", "draw")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,8 @@ from .shared import WORD, discard, stored, table
 WEIGHTS = (5, 2, 1)
 #: The mix is so many halves of all sizes, and no source exceeds so many times its own.
 HALVES, EPOCHS = 3, 2
-BUCKETS = 4096
+#: Buckets of a source's keys: so many at least, and more where a source of all rows would have more rows in one.
+BUCKETS, IN_BUCKET = 4096, 50_000
 USUAL_WORD, LEAST_WEIGHT = 6.0, 0.5
 SEED = "mix-1"
 
@@ -50,15 +51,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0 and give nothing.  A null source is a
     source of its own, last in order.  The last document of a source is taken
     in part, so that taken words add up to the target's whole part.  Rows that
-    agree in id and size draw the same key and are taken one after the other.
+    agree in id and size draw the same key and are taken one after the other;
+    rows without an id draw by their texts.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
     long = F.col("chars") / F.when(F.col("size") > 0, F.col("size"))
     quality = F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.abs(long - USUAL_WORD) / USUAL_WORD)), F.lit(LEAST_WEIGHT))
-    draw = (F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))), F.lit(13)), 16, 10).cast("bigint") + 0.5) / 2.0**52
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
+    draw = (F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))), F.col("size").cast("string"))), F.lit(13)), 16, 10).cast("bigint") + 0.5) / 2.0**52
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.select("id", "source", "text", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
     rows = rows.withColumn("quality", quality).withColumn("key", -F.log(draw) / F.col("quality"))
-    rows = stored(rows.select("id", "source", "size", "quality", "key", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("key") * LEAST_WEIGHT)))).cast("int").alias("bucket")))
+    rows = stored(rows.select("id", "source", "size", "quality", "key"))
+    many = max(BUCKETS, rows.count() // IN_BUCKET)
+    rows = rows.withColumn("bucket", F.least(F.lit(many - 1), F.floor(many * (1 - F.exp(-F.col("key") * LEAST_WEIGHT)))).cast("int"))
 
     buckets = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")))
     plan = stored(targets(buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), weights, halves, epochs))

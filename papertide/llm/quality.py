@@ -27,6 +27,20 @@ SLICE_BYTES = 1 << 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Bytes that begin a code point.
+POINTS = (np.arange(256) & 0xC0) != 0x80
+
+
+def lines(data: np.ndarray, cuts: np.ndarray, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines with a word begin and end, and their rows."""
+    breaks = np.flatnonzero(data == 0x0A)
+    first = np.unique(np.concatenate([cuts[:-1], breaks + 1]))
+    first = first[first < len(data)]
+    row = np.searchsorted(cuts, first, "right") - 1
+    nl = np.searchsorted(breaks, first)
+    stop = np.minimum(np.append(breaks, len(data))[nl], cuts[row + 1])
+    worded = np.searchsorted(w.starts, stop) > np.searchsorted(w.starts, first)
+    return first[worded], stop[worded], row[worded]
 
 
 def measure(data: np.ndarray, cuts: np.ndarray, gram_limits: dict[int, float]) -> dict[str, np.ndarray]:
@@ -34,10 +48,10 @@ def measure(data: np.ndarray, cuts: np.ndarray, gram_limits: dict[int, float]) -
     w = tk.Words(data, cuts)
     n_rows, total = len(cuts) - 1, len(w.starts)
     rows = w.rows
-    points = np.zeros(len(data) + 1, np.int64)  # code points before each byte
-    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-    chars = points[w.ends] - points[w.starts]
-    out = {"n_words": w.counts.astype(np.int64), "word_chars": tk.row_sums(chars, w.bounds), "n_symbols": tk.row_sums(SYMBOLS[data], cuts)}
+    first, stop, row = lines(data, cuts, w)
+    begin, end, opens, closes = tk.counted(POINTS, data, w.starts, w.ends, first, stop)
+    chars, long = end - begin, closes - opens
+    out = {"n_words": w.counts.astype(np.int64), "word_chars": tk.row_sums(chars, w.bounds), "n_symbols": np.diff(tk.counted(SYMBOLS, data, cuts)[0])}
 
     salt = tk.mix(np.arange(1, n_rows + 1, dtype=np.uint64))
     grams = tk.Grams(w.hashes())
@@ -52,20 +66,11 @@ def measure(data: np.ndarray, cuts: np.ndarray, gram_limits: dict[int, float]) -
         at = at[tk.repeated(grams.at(at, n) ^ salt[rows[at]])]
         out[f"dup_chars_{n}"] = tk.row_sums(chars * tk.covered(at, n, total), w.bounds)
 
-    breaks = np.flatnonzero(data == 0x0A)
-    first = np.unique(np.concatenate([cuts[:-1], breaks + 1]))
-    first = first[first < len(data)]
-    row = np.searchsorted(cuts, first, "right") - 1
-    nl = np.searchsorted(breaks, first)
-    stop = np.minimum(np.append(breaks, len(data))[nl], cuts[row + 1])
-    worded = np.searchsorted(w.starts, stop) > np.searchsorted(w.starts, first)
-    first, stop, row = first[worded], stop[worded], row[worded]
     keys = w.span_hash(first, stop) ^ salt[row]
     order = np.lexsort((first, keys))
     again = np.zeros(len(first), bool)
     again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
     edge = np.searchsorted(row, np.arange(n_rows + 1))
-    long = points[stop] - points[first]
     out["n_dup_lines"] = tk.row_sums(again, edge)
     out["line_chars"], out["dup_line_chars"] = tk.row_sums(long, edge), tk.row_sums(long * again, edge)
     return out
@@ -121,7 +126,9 @@ def quality_filter(docs: DataFrame, text_col: str = "text", gram_limits: dict[in
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return map_batches(docs, keep, docs.schema)
+    # names with dots cannot be read by the mapping
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return map_batches(plain, keep, plain.schema).toDF(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Chat formatting by quotation linking (operator 5), in DataFrame operations only.
 
 Lines that begin with ``>`` marks are quotes; the number of marks is the level.
-Runs of lines of one level are passages.  A passage's words, normalised and
-hashed, are looked up among the messages of its conversation: whole bodies
-without quotes, their single lines, and any of their lines that follow each
-other.  The first message that has them is the
-original.  A message replies to the latest original of its outermost quotes;
-messages without a linked quote open a thread.  Conversations come out message
-by message, quotes removed, with the keys of their reply order: threads by
-their first message, and in a thread every reply after what it answers.
+Runs of lines of one level are passages.  A passage, normalised and hashed, is
+looked up among the messages of its conversation: whole bodies without quotes,
+any of their lines that follow each other, and, for passages of ``LEAST_WORDS``
+words, any words that follow each other, so that quotes of half a line and
+quotes that a mail program has wrapped anew are found too.  Of each message only
+runs of the lengths that its conversation quotes are hashed.  The first message
+that has a passage is the original.  A message replies to the latest original of
+its outermost quotes; messages without a linked quote open a thread.
+Conversations come out message by message, without quotes and the lines that
+announce them, with the keys of their reply order: threads by their first
+message, and in a thread every reply after what it answers.
 """
 
 from __future__ import annotations
@@ -17,9 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored, table
+from .spans import bound
 
 QUOTE = r"^\s*((?:>\s*)++)"
-LINE = "struct<level:int,body:string>"
+#: Passages of so many words are found wherever they stand in a message, shorter ones as whole lines.
+LEAST_WORDS = 5
+#: A line before a quote that tells who wrote it.
+ANNOUNCED = r"(?i)\b(wrote|schrieb|a écrit|escribió)\b[^:]{0,80}:\s*$"
 
 
 def parsed_lines(text: Column) -> Column:
@@ -41,17 +48,36 @@ def normal(text: Column) -> Column:
 def passages(lines: Column) -> Column:
     """Runs of lines of one level above 0, as (level, body)."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"))))
-        return F.when(F.coalesce(last["level"] == x["level"], F.lit(False)), grown).otherwise(F.concat(acc, F.array(x)))
+    def runs(x: Column) -> Column:
+        # where a run begins, and after the last line; places count from 1
+        first = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | (F.element_at(x, i)["level"] != F.element_at(x, F.greatest(i - 1, F.lit(1)))["level"]))
+        return bound(F.concat(first, F.array(F.size(x) + 1)), lambda f: F.transform(F.sequence(F.lit(1), F.size(f) - 1), lambda k: run(x, F.element_at(f, k), F.element_at(f, k + 1))))
 
-    return F.filter(F.aggregate(lines, F.array().cast(f"array<{LINE}>"), step), lambda p: p["level"] > 0)
+    def run(x: Column, start: Column, stop: Column) -> Column:
+        level = F.element_at(x, start)["level"]
+        said = F.when(level > 0, F.array_join(F.transform(F.slice(x, start, stop - start), lambda y: y["body"]), "\n"))
+        return F.struct(level.alias("level"), said.alias("body"))
 
+    return F.filter(bound(lines, runs), lambda p: p["level"] > 0)
 
-def _said_lines(body: Column) -> Column:
-    """Lines that have words, normalised."""
-    return F.filter(F.transform(F.split(body, "\n"), normal), lambda s: s != "")
+
+def _own_lines(lines: Column) -> Column:
+    """What a message says itself: its lines of level 0, but for those that announce the quote after them."""
+    announces = lambda x, i: F.coalesce(F.try_element_at(F.col("lines"), i + 2)["level"] > 0, F.lit(False)) & F.rlike(x["body"], F.lit(ANNOUNCED))
+    return F.transform(F.filter(lines, lambda x, i: (x["level"] == 0) & ~announces(x, i)), lambda x: x["body"])
+
+
+def _parts(body: Column) -> Column:
+    """A passage as its whole, as lines that have words, and as words, all normalised."""
+    whole = normal(body)
+    said = F.filter(F.transform(F.split(body, "\n"), normal), lambda s: s != "")
+    as_one = F.when(whole != "", F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0))
+    words = F.when(whole != "", F.split(whole, " ")).otherwise(F.slice(F.array(whole), 1, 0))
+    return F.array(*(F.struct(F.lit(kind).alias("kind"), x.alias("parts")) for kind, x in (("whole", as_one), ("lines", said), ("words", words))))
+
+
+def _digest(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, "\n"), 256)
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -63,28 +89,25 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     message to those that quote it, and each row keeps its own quotes.  Empty
     passages count as quotes but are not looked up.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     quoted = text.rlike(r"(?m)^\s*>")
     lines = F.when(quoted, parsed_lines(text)).otherwise(F.array(F.struct(F.lit(0).alias("level"), text.alias("body"))))
-    rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), lines.alias("lines"))
-    own = F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
+    rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), lines.alias("lines"))
+    own = F.regexp_replace(F.array_join(_own_lines(F.col("lines")), "\n"), r"^\s+|\s+$", "")
     rows = stored(rows.select("row", "conv", "turn", "role", own.alias("body"), passages(F.col("lines")).alias("quotes")))
 
     asked = rows.where(F.size("quotes") > 0).select("row", "conv", "turn", F.posexplode("quotes").alias("nth", "quote"))
-    asked = stored(asked.select("row", "conv", "turn", "quote.level", "nth", _said_lines(F.col("quote.body")).alias("run"), F.sha2(normal(F.col("quote.body")), 256).alias("digest"), (normal(F.col("quote.body")) != "").alias("worded")))
-    # only conversations with a quote are indexed; each passage once, under its first turn
-    live = asked.select("conv").distinct()
-    said = rows.join(live, "conv", "left_semi").where(F.col("turn").isNotNull())
-    told = said.select("conv", "turn", F.explode(F.array_distinct(F.concat(F.array(normal(F.col("body"))), F.transform(F.split("body", "\n"), normal)))).alias("passage")).where("passage <> ''")
-    first = stored(told.groupBy("conv", F.sha2("passage", 256).alias("digest")).agg(F.min("turn").alias("original")))
-    # a run of lines is looked up by its first two, and confirmed by the lines from there on
-    pair = lambda lines, i: F.sha2(F.concat_ws("\n", F.element_at(lines, i), F.element_at(lines, i + 1)), 256)
-    runs = asked.where(F.size("run") > 1).select("row", "nth", "conv", "turn", "run", pair(F.col("run"), F.lit(1)).alias("digest"))
-    bodies = said.select("conv", F.col("turn").alias("original"), _said_lines(F.col("body")).alias("said")).where(F.size("said") > 1)
-    starts = bodies.select("conv", "original", "said", F.explode(F.sequence(F.lit(1), F.size("said") - 1)).alias("i"))
-    starts = starts.select("conv", "original", "said", "i", pair(F.col("said"), F.col("i")).alias("digest"))
-    inside = runs.join(starts, ["conv", "digest"]).where((F.col("original") < F.col("turn")) & (F.slice("said", F.col("i"), F.size("run")) == F.col("run"))).select("row", "nth", "original")
-    found = asked.where("worded").join(first, ["conv", "digest"]).where("original < turn").select("row", "nth", "original").union(inside)
+    asked = stored(asked.select("row", "conv", "turn", "quote.level", "nth", F.filter(_parts(F.col("quote.body")), lambda x: (x["kind"] != "words") | (F.size(x["parts"]) >= LEAST_WORDS)).alias("as")))
+    wanted = asked.select("row", "nth", "conv", "turn", F.inline("as")).where(F.size("parts") > 0)
+    wanted = stored(wanted.select("row", "nth", "conv", "turn", "kind", F.size("parts").alias("long"), _digest(F.col("parts")).alias("digest")))
+    # only conversations with a quote are indexed, and only by runs as long as their quotes; each passage once, under its first turn
+    lengths = wanted.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "kind", "long").distinct()
+    said = rows.where(F.col("turn").isNotNull()).select("conv", F.col("turn").alias("original"), F.inline(_parts(F.col("body"))))
+    said = said.join(lengths, ["conv", "kind"]).where(F.size("parts") >= F.col("long"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("parts") - F.col("long") + 1), lambda i: _digest(F.slice("parts", i, F.col("long"))))
+    told = said.select("conv", "kind", "original", F.explode(F.array_distinct(runs)).alias("digest"))
+    first = stored(told.groupBy("conv", "kind", "digest").agg(F.min("original").alias("original")))
+    found = wanted.join(first, ["conv", "kind", "digest"]).where("original < turn").select("row", "nth", "original")
     linked = asked.select("row", "nth", "level").join(found.groupBy("row", "nth").agg(F.min("original").alias("original")), ["row", "nth"])
     by_row = linked.groupBy("row").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("original"))).alias("outer"), F.max("original").alias("any"))
     out = stored(rows.join(by_row, "row", "left").select("row", "conv", "turn", "role", "body", F.size("quotes").cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), F.coalesce("outer", "any").alias("reply_to")))
@@ -103,5 +126,10 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return done.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "reply_to", F.coalesce("root", "turn").alias("thread"), "n_quotes", "n_linked", formatted.alias("formatted"))
 
 
+def in_reply_order(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """The messages of ``link``, conversation by conversation, each in reply order; a long conversation may lie in several partitions."""
+    return linked.orderBy(conv_col, "thread", turn_col)
+
+
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "conversations"))

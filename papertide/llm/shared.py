@@ -67,7 +67,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` by functions that come by value: what the task before left in cycles is collected first."""
+    """``mapInArrow`` by functions that come by value.
+
+    Every task has its own copy of a function's module, some tens of MB with its
+    tables, which hang in cycles: what the task before left is collected first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.collect()
@@ -93,6 +97,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_digest(df: DataFrame) -> Column:
+    """All of a row; nulls, which the hash passes over, are marked."""
+    return F.xxhash64(*(x for c in df.columns for x in (df[f"`{c}`"], df[f"`{c}`"].isNull())))
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would fold other alphabets too."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import connected_components
-from .shared import discard, map_batches, stored, table
+from .shared import discard, fresh, map_batches, row_digest, stored, table
 
 SHINGLE, BITS, SEED = 3, 2, 42
 SLICE_BYTES = 1 << 20
+#: Shingles whose places are Python numbers at once.
+LISTED = 1 << 18
 #: Byte b to eight counters of one byte each, one for each of its bits, lowest bit first.
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -77,7 +79,11 @@ def fingerprints(data: np.ndarray, cuts: np.ndarray, shingle: int = SHINGLE) ->
     begin = w.bounds[:-1][row] + np.arange(bounds[-1]) - bounds[row]
     end = np.minimum(begin + shingle, w.bounds[1:][row]) - 1
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(first[begin].tolist(), (last[end] - 1).tolist(), strict=True)), np.uint64, len(begin))
+    hashes = np.empty(len(begin), np.uint64)
+    for lo in range(0, len(begin), LISTED):
+        part = slice(lo, lo + LISTED)
+        spans = zip(first[begin[part]].tolist(), (last[end[part]] - 1).tolist(), strict=True)
+        hashes[part] = np.fromiter((digest(view[a:b], SEED) for a, b in spans), np.uint64, len(begin[part]))
     return votes(hashes, bounds)
 
 
@@ -193,22 +199,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     owners = stored(prints.groupBy("fp").agg(F.min("id").alias("id")))
     # labels must be unique to fingerprints even where ids repeat or are null
     nodes = owners.select(F.col("fp").alias("node"), F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp")).alias("label"))
-    links = fingerprint_links(owners.select("fp"), bits)
+    # few bytes make many list entries: dealt out first, so that a handful of files is not a handful of tasks
+    links = fingerprint_links(owners.select("fp").repartition("fp"), bits)
     comps = stored(connected_components(nodes, links).select(F.col("node").alias("fp"), F.col("label.id").alias("component_id")))
     discard(owners)
     return prints.join(comps, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+    """One row of ``docs`` of each component, with all its columns: the first by id, then by the digest of the row.
 
-    Rows with a null id are kept; of rows that share an id one stays.
+    Rows with a null id are kept.  Rows that share an id are judged each by its
+    own text; rows that are equal throughout are one row.
     """
-    found = simhash_components(docs, id_col, text_col, shingle, bits)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(stay, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    mark = fresh(docs, "row")
+    marked = docs.withColumn(mark, row_digest(docs))
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("digest"))
+    found = simhash_components(marked.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", shingle, bits)
+    stay = found.where(F.col("key") == F.col("component_id")).where("NOT key.none").select(F.col("key.digest").alias(mark)).distinct()
+    named = marked.where(F.col(f"`{id_col}`").isNotNull()).join(stay, mark, "left_semi").dropDuplicates([mark])
+    return named.unionByName(marked.where(F.col(f"`{id_col}`").isNull())).drop(mark)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@
    A window in two documents recurs, and its first document is known.
 3. Passages.  In its first document a recurring window lies in a run of such
    windows: these runs, each kept once, hold every recurring window.
-4. Automata.  Documents are dealt into shards.  A shard gets the passages whose
+4. Automata.  Documents are dealt into shards of bounded size.  A shard gets the passages whose
    windows its documents hold and cuts them into blocks of 25 words, of which
    any window of 50 words contains one.  Each block's opening phrase goes into
    the shard's Aho-Corasick automaton, spelt in three letters a word.
@@ -38,6 +38,8 @@ WINDOW, PHRASE = 50, 10
 SLICE_BYTES = 1 << 19
 #: A word is spelt in so many letters of four bits of its hash: nodes with few branches are walked fast.
 LETTERS = 3
+#: A shard holds the documents of about so many anchors, some 80 MB of text, and with them no more passages than these can share.
+SHARD_ANCHORS = 500_000
 
 
 def block_words(window: int) -> int:
@@ -264,6 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flat = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     named = flat.where("id IS NOT NULL AND text IS NOT NULL")
     anchors = stored(find_anchors(named, window, phrase))
+    n_anchors = anchors.count()
     recurring = stored(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     lists = stored(anchors.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     discard(anchors, recurring)
@@ -286,13 +289,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = where.join(found.where("a = first").select("span", F.col("a").alias("id"), "block", "mask"), ["span", "id"])
     own = own.groupBy("segment").agg(F.collect_list(F.struct((F.col("cut") + 64 * F.col("block")).alias("at"), "mask")).alias("bits"))
     passages = stored(find_passages(segments.join(own, "segment").select("id", "text", "bits"), window))
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    shards = F.lit(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_anchors // SHARD_ANCHORS)))
+    shard = F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard")
+    # hashes pass over nulls: a row without an id goes by its text
+    own_shard = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), shards).cast("int").alias("shard")
     needed = stored(where.join(found.select("span", "first").distinct(), "span").where("first < id").select("first", shard).distinct())
     discard(segments, found)
 
     sent = passages.join(needed, passages["id"] == needed["first"]).select("shard", F.lit(0).alias("kind"), passages["id"], "text")
-    dealt = sent.unionByName(flat.select(shard, F.lit(1).alias("kind"), "id", "text"))
+    dealt = sent.unionByName(flat.select(own_shard, F.lit(1).alias("kind"), "id", "text"))
     if keep_text:
         dealt = dealt.withColumn("kept_text", F.lit(None).cast("string"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
