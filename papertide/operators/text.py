@@ -6,12 +6,13 @@ differ in some words, and so do the terms then found.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Letters, digits and underscores, two at least.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -28,7 +29,7 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """The words and their neighbours joined by a space; fewer than two words have no bigram."""
-    pairs = F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, pairs)
 
 
@@ -70,12 +71,13 @@ def ctfidf(docs: DataFrame, cluster_col: str = "cluster", order_col: str = "eid"
     The noise cluster -1 counts as a cluster.  Ties by term.  ``top_n`` None
     gives all terms without a rank.
     """
-    # read three times: the texts are not to be cut up as often
-    tf = cluster_terms(docs, cluster_col, order_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    # read by three: the texts are not to be cut up as often
+    tf = stored(cluster_terms(docs, cluster_col, order_col, text_col, stop_words))
+    # a row for each cluster
     totals = tf.groupBy("cluster").agg(F.sum("tf").alias("in_cluster"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = totals.agg(F.count("*")).scalar()
-    scored = tf.join(totals, "cluster").join(df, "term").select("cluster", "term", "tf", "in_cluster", "df", n.alias("n"))
+    found = F.count("*").over(W.partitionBy("term"))
+    scored = tf.withColumn("df", found).join(totals, "cluster").select("cluster", "term", "tf", "in_cluster", "df", n.alias("n"))
     scored = scored.select("cluster", "term", (F.col("tf") / F.col("in_cluster") * F.log(1 + F.col("n") / F.col("df"))).alias("score"))
     if top_n is None:
         return scored

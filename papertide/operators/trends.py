@@ -40,7 +40,8 @@ def subfield_share(long: DataFrame, papers: DataFrame) -> DataFrame:
     totals = papers.where("year IS NOT NULL").groupBy("year").agg(F.count("eid").alias("n_total"))
     counts = subfield_counts(long)
     years = counts.select("year").union(totals.select("year")).distinct()
-    labels = F.array(*(F.lit(x) for x in labels_of(long))).cast("array<string>")
+    # a grid of years and labels: both sides are grouped by few values; labels without a year count too
+    labels = long.where("subfield IS NOT NULL").agg(F.array_sort(F.collect_set("subfield"))).scalar()
     grid = years.withColumn("subfield", F.explode(labels))
     share = F.coalesce(F.try_divide(F.col("n_papers"), F.col("n_total")), F.lit(0.0)).alias("share")
     return grid.join(counts, ["year", "subfield"], "left").join(totals, "year", "left").select("year", "subfield", share)

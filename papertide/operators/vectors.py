@@ -19,11 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ClusterSettings
+from ..storage import stored
 from .text import ctfidf
 
-
 #: Fixed value: what noise is called.
 OUTLIERS = "Outliers / unclustered"
+#: Points that are compared with as many others in one task.
+BLOCK = 5_000
 
 
 def l2_normalized(v: Column) -> Column:
@@ -39,17 +41,16 @@ def project(vectors: DataFrame, id_col: str, vector_col: str, components: int) -
     return model.transform(rows).select(id_col, vector_to_array("p").alias("low"))
 
 
-def spanning_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
-    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability; memory grows with the points alone."""
+def spanning_tree(x: np.ndarray, min_samples: int, core: np.ndarray | None = None) -> np.ndarray:
+    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability; memory grows with the points alone.
+
+    ``core`` are the distances to the nearest points where there are more than these.
+    """
     n = len(x)
-    core = np.empty(n)
-    for lo in range(0, n, 256):
-        d = np.sqrt(((x[lo : lo + 256, None, :] - x[None]) ** 2).sum(2))
-        k = min(min_samples, n) - 1
-        core[lo : lo + 256] = np.partition(d, k, axis=1)[:, k]
+    core = nearest(x, x, min_samples).max(1) if core is None else core
     inside = np.zeros(n, bool)
     near, via = np.full(n, np.inf), np.zeros(n, np.int64)
-    edges = np.empty((n - 1, 3))
+    edges = np.empty((max(n - 1, 0), 3))
     at = 0
     for e in range(n - 1):
         inside[at] = True
@@ -61,16 +62,33 @@ def spanning_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
     return edges[np.argsort(edges[:, 2], kind="stable")]
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distances, or as many as there are, from each of x to the points y."""
+    k = min(k, len(y))
+    out = np.empty((len(x), k))
+    step = max(1, (1 << 22) // max(1, y.size))
+    for lo in range(0, len(x), step):
+        d = np.sqrt(((x[lo : lo + step, None, :] - y[None]) ** 2).sum(2))
+        out[lo : lo + step] = np.partition(d, k - 1, axis=1)[:, :k]
+    return out
+
+
 def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> np.ndarray:
     """Labels 0, 1, ... by each cluster's first point, -1 for noise."""
-    n = len(x)
-    if n < max(2, min_cluster_size):
-        return np.full(n, -1)
-    edges = spanning_tree(np.asarray(x, float), min_samples or min_cluster_size)
+    x = np.asarray(x, float)
+    if len(x) < max(2, min_cluster_size):
+        return np.full(len(x), -1)
+    return clusters_of(spanning_tree(x, min_samples or min_cluster_size), len(x), min_cluster_size)
+
+
+def clusters_of(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
+    """The labels of n points from edges (a, b, distance) that hold their minimum spanning tree."""
     # single linkage: node n + e joins two nodes at an edge's distance
     left, right, size = np.empty(n - 1, int), np.empty(n - 1, int), np.ones(2 * n - 1, int)
     top = np.arange(n)
-    group = {i: i for i in range(n)}
+    group = np.arange(n)
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+    length, done = np.empty(n - 1), 0
 
     def find(i: int) -> int:
         while top[i] != i:
@@ -78,13 +96,16 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
             i = top[i]
         return i
 
-    for e, (a, b, _) in enumerate(edges):
+    for a, b, d in edges:
         ra, rb = find(int(a)), find(int(b))
-        left[e], right[e] = group[ra], group[rb]
-        size[n + e] = size[left[e]] + size[right[e]]
+        if ra == rb:
+            continue
+        left[done], right[done], length[done] = group[ra], group[rb], d
+        size[n + done] = size[left[done]] + size[right[done]]
         top[rb] = ra
-        group[ra] = n + e
-    density = 1 / np.maximum(edges[:, 2], 1e-12)
+        group[ra] = n + done
+        done += 1
+    density = 1 / np.maximum(length, 1e-12)
 
     def points(node: int) -> list[int]:
         out, stack = [], [node]
@@ -139,24 +160,70 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     return labels
 
 
-def density_clusters(low: DataFrame, id_col: str, vector_col: str = "low", min_cluster_size: int = 5, most_points: int = 20_000) -> DataFrame:
-    """``(id, topic)``.
+def density_clusters(low: DataFrame, id_col: str, vector_col: str = "low", min_cluster_size: int = 5, most_points: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``(id, topic)``: density clusters of all points; exact at any size, -1 for noise.
 
-    Density clusters depend on all distances, so the points, a few numbers
-    each, meet in one task.  More than ``most_points`` are refused: cluster a
-    stated sample and give the rest the topic of their nearest centre with
-    ``nearest_topic``.
+    Density clusters depend on all distances.  Points are dealt into blocks;
+    each pair of blocks gives the distances to the nearest points, then the
+    minimum spanning tree of its points, and the tree of all points is among
+    these edges.  No distances are kept, and a task holds two blocks.  Only the
+    points' numbers and the edges meet at the end, in one task, where clusters
+    are cut from the tree.  Ids must be different.  The work grows with the
+    square of the points; ``most_points`` refuses more than are meant.
     """
-    n = low.limit(most_points + 1).count()
-    if n > most_points:
+    n = low.count()
+    if most_points is not None and n > most_points:
         raise ValueError(f"more than {most_points} points; cluster a sample and use nearest_topic for the rest")
     kind = low.schema[id_col].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "topic": hdbscan(np.stack(pdf[vector_col].to_numpy()), min_cluster_size).astype("int32")})
-
-    return low.select(F.lit(0).alias("__all"), id_col, vector_col).groupBy("__all").applyInPandas(run, f"`{id_col}` {kind}, topic int")
+    if n < max(2, min_cluster_size):
+        return low.select(id_col, F.lit(-1).alias("topic"))
+    many = -(-n // block)
+    # numbers in the order of the ids; blocks by number
+    points = stored(low.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x")).repartitionByRange("id").sortWithinPartitions("id"))
+    rows = points.select("id", "x", F.row_number().over(W.orderBy("id")).alias("i")) if many == 1 else _numbered(points)
+    rows = stored(rows.select("id", "x", (F.col("i") - 1).cast("bigint").alias("i"), F.pmod(F.xxhash64("i"), F.lit(many)).cast("int").alias("block")))
+
+    def paired(df: DataFrame) -> DataFrame:
+        both = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+        return both.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, side, i = np.stack(pdf["x"].to_numpy()), pdf["block"].to_numpy(), pdf["i"].to_numpy()
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        out = []
+        for a, b in {(p, q), (q, p)}:
+            mine = side == a
+            if mine.any() and (side == b).any():
+                out.append(pd.DataFrame({"i": i[mine], "d": list(nearest(x[mine], x[side == b], min_cluster_size))}))
+        return pd.concat(out) if out else pd.DataFrame({"i": [], "d": []})
+
+    near = paired(rows).groupBy("p", "q").applyInPandas(close, "i bigint, d array<double>")
+    k = min(min_cluster_size, n)
+    core = near.groupBy("i").agg(F.element_at(F.array_sort(F.flatten(F.collect_list("d"))), k).alias("core"))
+    known = stored(rows.join(core, "i"))
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        e = spanning_tree(np.stack(pdf["x"].to_numpy()), min_cluster_size, pdf["core"].to_numpy())
+        i = pdf["i"].to_numpy()
+        return pd.DataFrame({"a": i[e[:, 0].astype(int)], "b": i[e[:, 1].astype(int)], "d": e[:, 2]})
+
+    edges = paired(known).groupBy("p", "q").applyInPandas(tree, "a bigint, b bigint, d double")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = clusters_of(pdf[["a", "b", "d"]].to_numpy(float), n, min_cluster_size)
+        return pd.DataFrame({"i": np.arange(n), "topic": labels.astype("int32")})
+
+    found = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(cut, "i bigint, topic int")
+    return rows.join(found, "i").select(F.col("id").cast(kind).alias(id_col), "topic")
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    """``i``, from 1 on in the order of the stored, sorted ids: each partition's rows are numbered after those before."""
+    rows = points.withColumn("part", F.spark_partition_id())
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("least").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("id"))).join(F.broadcast(before), "part").select("id", "x", (F.col("r") + F.col("before")).alias("i"))
 
 
 def topic_centres(vectors: DataFrame, topics: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -191,14 +258,18 @@ def discover_topics(papers: DataFrame, vectors: DataFrame, settings: ClusterSett
 
     Takes ``papers(eid, title, citedby_count, doc)`` and ``vectors(eid, vector)``.
     A topic is called after its number and described by its first five terms;
-    ``relabelled`` puts a model's names in their place.
+    ``relabelled`` puts a model's names in their place.  Too few papers for a
+    cluster are all noise, at 0.
     """
     n = vectors.limit(settings.components + 3).count()
-    low = project(vectors, "eid", "vector", max(2, min(settings.components, n - 2)))
-    topics = density_clusters(low, "eid", "low", settings.min_cluster_size)
-    placed = topics.join(low, "eid").select("eid", "topic", F.element_at("low", 1).alias("umap_x"), F.element_at("low", 2).alias("umap_y"))
+    if n < 4:
+        placed = vectors.select("eid", F.lit(-1).alias("topic"), F.lit(0.0).alias("umap_x"), F.lit(0.0).alias("umap_y"))
+    else:
+        low = stored(project(vectors, "eid", "vector", max(2, min(settings.components, n - 2))))
+        topics = density_clusters(low, "eid", "low", settings.min_cluster_size)
+        placed = topics.join(low, "eid").select("eid", "topic", F.element_at("low", 1).alias("umap_x"), F.element_at("low", 2).alias("umap_y"))
     label = F.when(F.col("topic") < 0, OUTLIERS).otherwise(F.concat(F.lit("Topic "), F.col("topic")))
-    out = papers.join(placed, "eid").withColumn("topic_label", label)
+    out = stored(papers.join(placed, "eid").withColumn("topic_label", label))
     return out, topic_summary(out, settings.top_terms)
 
 

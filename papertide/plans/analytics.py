@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.variant import at, one_or_many, text_of, to_bool
 from ..operators import annotate, cache, candidates, facts, graph, influence, taxonomy, text, trends, vectors
+from ..storage import stored
 from . import query, views
 from .views import sql
 
@@ -306,13 +307,13 @@ def topic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topics")
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of all vectors, -1 for noise, with each one's similarity to its cluster's centre; beyond 20,000 vectors refused."""
+    """Density clusters of all vectors, -1 for noise, with each one's similarity to its cluster's centre."""
     e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("eid"), F.col("embedding").alias("vector"))
     return _topics(e)
 
 
 def _topics(e: DataFrame) -> DataFrame:
-    found = vectors.density_clusters(vectors.project(e, "eid", "vector", 5), "eid").localCheckpoint()
+    found = stored(vectors.density_clusters(vectors.project(e, "eid", "vector", 5), "eid"))
     centres = vectors.topic_centres(e, found, "eid", "vector")
     near = F.aggregate(F.zip_with(vectors.l2_normalized(F.col("vector")), "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
     return e.join(found, "eid").join(centres, "topic", "left").select("eid", "topic", F.bround(near, 4).alias("similarity"))

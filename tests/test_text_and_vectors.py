@@ -96,3 +96,16 @@ def test_topics(spark):
     assert sum(agree) >= 0.8 * len(agree)
     with pytest.raises(ValueError):
         vectors.density_clusters(df.selectExpr("eid", "vector AS low"), "eid", most_points=10)
+
+
+def test_density_clusters_by_blocks(spark):
+    """Cut into blocks, clusters are those of all points in one place."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.1 + c for c in ((0, 0, 0), (2, 0, 0), (0, 3, 1))] + [rng.normal(size=(25, 3)) * 3])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(1000 - i), x[i].tolist()) for i in order], "eid long, low array<double>").repartition(5)
+    expected = vectors.hdbscan(x[::-1])
+    assert len(set(expected.tolist())) >= 4
+    for block in (1000, 60, 25):
+        got = {r.eid: r.topic for r in vectors.density_clusters(df, "eid", block=block).collect()}
+        assert [got[i] for i in sorted(got)] == expected.tolist()
