@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import TAXONOMY
 from ..functions.variant import coerced, salvaged
 from ..schemas import ANNOTATION
-from .cache import missing
+from .cache import CacheTable, missing
 
 # Fixed value: what servers say when a prompt and the wanted answer exceed the context.
 CONTEXT = re.compile(r"(?is)maximum context length is (\d+).*?contains at least (\d+) input tokens")
@@ -64,9 +65,18 @@ class RuleAnnotator:
         }
 
 
-def prompt_key(annotator: str) -> Column:
-    """The cache key: a hash of the annotator and all that the prompt is made of."""
-    return F.sha2(F.to_json(F.struct(F.lit(annotator).alias("model"), F.col("abstract"), F.col("title"))), 256)
+def asked_as(annotator: Annotator | str) -> str:
+    """What decides an answer besides the paper: the model's name or, where it tells more of itself, its signature."""
+    return annotator if isinstance(annotator, str) else getattr(annotator, "signature", annotator.name)
+
+
+def keywords_of(papers: DataFrame) -> Column:
+    return F.col("author_keywords") if "author_keywords" in papers.columns else F.lit(None).cast("array<string>")
+
+
+def prompt_key(annotator: Annotator | str, papers: DataFrame, kind: str = "annotation") -> Column:
+    """The cache key: a hash of the kind of question, the model, and all of the paper that the prompt is made of."""
+    return F.sha2(F.to_json(F.struct(F.lit(asked_as(annotator)).alias("model"), F.lit(kind).alias("kind"), F.col("abstract"), F.col("title"), keywords_of(papers).alias("keywords"))), 256)
 
 
 def room_left(error: str) -> int | None:
@@ -78,28 +88,46 @@ def room_left(error: str) -> int | None:
     return left if left > 0 else None
 
 
-def annotate(papers: DataFrame, annotator: Annotator, partitions: int | None = None) -> DataFrame:
-    """``(key, value)``: raw answers for ``papers(eid, title, abstract)``, each different prompt asked once."""
-    asked = papers.select(prompt_key(annotator.name).alias("key"), "title", "abstract").dropDuplicates(["key"])
-    if partitions:
-        asked = asked.repartition(partitions)
+def questions(papers: DataFrame, annotator: Annotator | str, kind: str = "annotation") -> DataFrame:
+    """``(key, title, abstract, author_keywords)``, each different prompt once."""
+    return papers.select(prompt_key(annotator, papers, kind).alias("key"), "title", "abstract", keywords_of(papers).alias("author_keywords")).dropDuplicates(["key"])
+
+
+def ask(asked: DataFrame, call: Callable[[list[dict]], list[str]], store: CacheTable | None = None) -> DataFrame:
+    """``(key, value)``: what ``call`` answers to the other columns, a batch at a time.
+
+    With a cache only what it lacks is asked for, and the answers go to it;
+    without one they are written down, so that nothing is asked twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "value": annotator.annotate(b[["title", "abstract"]].to_dict("records"))})
+            rows = b.drop(columns="key").to_dict("records")
+            rows = [{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows]
+            yield pd.DataFrame({"key": b["key"], "value": call(rows)})
+
+    wanted = asked if store is None else missing(asked, store.read())
+    got = wanted.mapInPandas(run, "key string, value string")
+    if store is None:
+        return got
+    store.append(got)
+    return store.read().select("key", "value")
 
-    return asked.mapInPandas(run, "key string, value string")
+
+def annotate(papers: DataFrame, annotator: Annotator, partitions: int | None = None) -> DataFrame:
+    """``(key, value)``: raw answers for ``papers(eid, title, abstract)`` and keywords if there are any, each different prompt asked once."""
+    asked = questions(papers, annotator)
+    return ask(asked.repartition(partitions) if partitions else asked, annotator.annotate)
 
 
 def answers(papers: DataFrame, annotator: Annotator, cache: DataFrame) -> DataFrame:
     """Answers that the cache lacks; append them to it."""
-    wanted = papers.withColumn("key", prompt_key(annotator.name))
-    return annotate(missing(wanted, cache), annotator)
+    return ask(missing(questions(papers, annotator), cache), annotator.annotate)
 
 
-def extractions(papers: DataFrame, answered: DataFrame, annotator: str) -> DataFrame:
+def extractions(papers: DataFrame, answered: DataFrame, annotator: Annotator | str) -> DataFrame:
     """``answered(key, value)`` to one typed row per paper; answers that no JSON can be salvaged from give null fields."""
-    keyed = papers.select("eid", prompt_key(annotator).alias("key")).join(answered.select("key", salvaged(F.col("value")).alias("v")), "key")
+    keyed = papers.select("eid", prompt_key(annotator, papers).alias("key")).join(answered.select("key", salvaged(F.col("value")).alias("v")), "key")
     return keyed.select("eid", *coerced(F.col("v"), ANNOTATION))
 
 

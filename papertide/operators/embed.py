@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import document_text
+from ..sources import tables
+from ..storage import stored
 from .vectors import l2_normalized
 
 BATCH = 32
@@ -40,6 +42,35 @@ class HashingEncoder:
         return out
 
 
+class PooledEncoder:
+    """A token model as encoder: texts are cut after ``most_tokens`` tokens and token vectors pooled over each text's own.
+
+    ``load`` gives the two halves, in the worker that uses them: from texts to
+    a list of token numbers for each, and from numbers and mask (texts x
+    tokens) to vectors (texts x tokens x dims).  ``pooling`` is ``mean`` or
+    ``first``, the vector of the first token.
+    """
+
+    def __init__(self, name: str, load: Callable[[], tuple[Callable, Callable]], most_tokens: int = 512, pooling: str = "mean"):
+        self.load, self.most_tokens, self.pooling = load, most_tokens, pooling
+        self.name = f"{name}-{most_tokens}-{pooling}"
+        self.halves: tuple[Callable, Callable] | None = None
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if self.halves is None:
+            self.halves = self.load()
+        tokenize, forward = self.halves
+        numbers = [list(x)[: self.most_tokens] for x in tokenize(texts)]
+        long = max(1, *map(len, numbers))
+        ids, mask = np.zeros((len(texts), long), np.int64), np.zeros((len(texts), long), np.int64)
+        for r, x in enumerate(numbers):
+            ids[r, : len(x)], mask[r, : len(x)] = x, 1
+        out = np.asarray(forward(ids, mask), np.float32)
+        if self.pooling == "first":
+            return out[:, 0] * mask[:, :1]
+        return (out * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1), 1)[:, None]
+
+
 class Fallback:
     """An encoder, and another for when the first cannot be used."""
 
@@ -67,6 +98,29 @@ def embed(papers: DataFrame, encoder: Encoder, batch: int = BATCH) -> DataFrame:
     return docs.mapInPandas(run, f"eid {kind}, vector array<float>").withColumn("vector", l2_normalized(F.col("vector")))
 
 
+def embed_once(papers: DataFrame, encoder: Encoder, path: str | None = None) -> DataFrame:
+    """``(eid, vector, corpus)``: read from ``path`` where this corpus and model have been there, else encoded, and saved there."""
+    key = corpus_key(papers, encoder.name)
+    if path is None:
+        return stored(embed(papers, encoder).withColumn("corpus", F.lit(key)))
+    spark = papers.sparkSession
+    known = vectors_at(spark, path, key)
+    if known is None:
+        tables.save_embeddings(embed(papers, encoder).withColumn("corpus", F.lit(key)), path)
+        known = vectors_at(spark, path, key)
+    return known
+
+
+def vectors_at(spark: SparkSession, path: str, corpus: str) -> DataFrame | None:
+    try:
+        found = tables.load_embeddings(spark, path, corpus)
+    except Exception as e:  # the folder begins with the first corpus
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found if not found.isEmpty() else None
+
+
 def corpus_key(papers: DataFrame, model: str) -> str:
     """Names the vectors of a model for a corpus: a hash over the papers' own hashes in order of their ids.
 

@@ -79,6 +79,11 @@ def rich_fields(raw: DataFrame) -> DataFrame:
     )
 
 
+def by_doi(raw: DataFrame, doi: str) -> DataFrame:
+    """The records of a DOI, in whatever case it is written."""
+    return parse_records(raw).where(F.lower("doi") == doi.strip().lower())
+
+
 def compare_views(full: DataFrame, meta: DataFrame) -> DataFrame:
     """Diagnostic: the abstract's length in two views of the same papers, and what the fuller one adds."""
     long = lambda df, name: df.select("eid", F.length(F.coalesce(string_at(F.col("payload"), ROOT, "coredata", "dc:description"), F.lit(""))).alias(name))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TAXONOMY
+from ..functions.variant import at, one_or_many, salvaged, text_of
+from . import annotate
+from .cache import CacheTable
 
 TEXT_PARTS = ("title", "abstract")
 LIST_PARTS = ("author_keywords", "ai_methods", "novelty_keywords")
@@ -52,6 +57,22 @@ def canonical(labels: Column, taxonomy: dict[str, tuple[str, ...]] = TAXONOMY) -
     return F.array_compact(F.transform(labels, lambda x: F.try_element_at(known, F.lower(x))))
 
 
+class Labeller(Protocol):
+    name: str
+
+    def label(self, papers: list[dict]) -> list[str]:
+        """A JSON object with the list ``subfields``, or text around one, for each paper."""
+
+
+def annotated_labels(papers: DataFrame, labeller: Labeller, store: CacheTable | None = None) -> DataFrame:
+    """``(eid, subfields_llm)``: a model's labels; what is no list of texts in an answer is left out."""
+    answered = annotate.ask(annotate.questions(papers, labeller, "labels"), labeller.label, store)
+    said = at(salvaged(F.col("value")), "subfields")
+    labels = F.filter(F.transform(one_or_many(said), text_of), lambda x: x.isNotNull() & (x != ""))
+    keyed = papers.select("eid", annotate.prompt_key(labeller, papers, "labels").alias("key"))
+    return keyed.join(answered.select("key", F.coalesce(labels, F.array().cast(NO_LABELS)).alias("subfields_llm")), "key").select("eid", "subfields_llm")
+
+
 def assign_subfields(papers: DataFrame, annotated: DataFrame | None = None, taxonomy: dict[str, tuple[str, ...]] = TAXONOMY, mode: str = "union") -> DataFrame:
     """``papers`` with ``subfields_rule``, ``subfields_llm`` and ``subfields``; ``annotated(eid, subfields_llm)`` joins on the id."""
     out = papers.withColumn("subfields_rule", rule_labels(classification_text(papers), taxonomy))

@@ -37,16 +37,25 @@ def save_parquet_and_csv(df: DataFrame, path: str, name: str) -> None:
     _flat(df).write.mode("overwrite").csv(f"{path}/{name}.csv", header=True)
 
 
-def save_json(df: DataFrame, path: str) -> None:
-    """One object a line."""
-    df.write.mode("overwrite").json(path)
+def save_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """One object a line; as one ``array``, a single file written from one task, for tables that a reader takes whole."""
+    if not array:
+        df.write.mode("overwrite").json(path)
+        return
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    ends = F.array_join(F.array_sort(F.collect_list("value")), ",\n")
+    rows.agg(F.concat(F.lit("[\n"), ends, F.lit("\n]")).alias("value")).write.mode("overwrite").text(path)
 
 
 def save_facts(facts: DataFrame, path: str, report: str | None = None) -> None:
     """The frozen facts, one JSON document, and the narrative if there is one."""
     facts.select(F.col("facts").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}_facts.json")
     if report is not None:
-        facts.sparkSession.range(1, numPartitions=1).select(F.lit(report).alias("value")).write.mode("overwrite").text(f"{path}.md")
+        save_text(facts.sparkSession, f"{path}.md", report)
+
+
+def save_text(spark: SparkSession, path: str, text: str) -> None:
+    spark.range(1, numPartitions=1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def load_facts(spark: SparkSession, path: str) -> str:
