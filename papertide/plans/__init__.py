@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from . import analytics, payloads  # noqa: E402, F401  register the queries
+from . import analytics, more, payloads  # noqa: E402, F401  register the queries

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.variant import at, one_or_many, text_of, to_bool
 from ..operators import annotate, cache, candidates, facts, graph, influence, taxonomy, text, trends, vectors
 from ..storage import stored
-from . import query, views
+from . import QUERIES, SQL, query, views
 from .views import sql
 
 TYPES = ("PROMO", "STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY")
@@ -250,14 +250,6 @@ def coauthor_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.coauthor_graph(views.authors(spark, d, views.JANUARY))[1]
 
 
-@query(
-    "degree_centrality",
-    sql("SELECT auid, coalesce(k, 0) / ((SELECT count(DISTINCT auid) FROM january_v) - 1)::DOUBLE AS degree_centrality FROM (SELECT DISTINCT auid FROM january_v) LEFT JOIN (SELECT auid, count(*) AS k FROM (SELECT src AS auid FROM edges_v UNION ALL SELECT dst FROM edges_v) GROUP BY auid) USING (auid)"),
-)
-def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree_centrality(*graph.coauthor_graph(views.authors(spark, d, views.JANUARY)))
-
-
 @query("betweenness")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(graph.betweenness(*graph.coauthor_graph(views.authors(spark, d))), 9, "betweenness")
@@ -274,20 +266,25 @@ def coauthor_edges_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "degree_centrality_all",
+    "degree_centrality",
     sql(f"SELECT auid, coalesce(k, 0) / ((SELECT count(DISTINCT auid) FROM authors_v) - 1)::DOUBLE AS degree_centrality FROM (SELECT DISTINCT auid FROM authors_v) LEFT JOIN (SELECT auid, count(*) AS k FROM (SELECT unnest([src, dst]) AS auid FROM ({_EDGES})) GROUP BY auid) USING (auid)"),
 )
-def degree_centrality_all(spark: SparkSession, d: str) -> DataFrame:
-    """``degree_centrality`` over all orders."""
+def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree_centrality(*graph.coauthor_graph(views.authors(spark, d)))
 
 
-@query("edges_by_year_all", sql(f"SELECT a.year, a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM {_ON} a JOIN {_ON} b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL"))
-def edges_by_year_all(spark: SparkSession, d: str) -> DataFrame:
-    """``edges_by_year`` over all orders, a list of edges for each year."""
+QUERIES["degree_centrality_all"], SQL["degree_centrality_all"] = degree_centrality, SQL["degree_centrality"]
+
+
+@query("edges_by_year", sql(f"SELECT a.year, a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM {_ON} a JOIN {_ON} b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL"))
+def edges_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """A list of edges for each year."""
     return graph.edges_by_year(views.authors(spark, d))
 
 
+QUERIES["edges_by_year_all"], SQL["edges_by_year_all"] = edges_by_year, SQL["edges_by_year"]
+
+
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings with their labels as topics, a document's text for each."""
     docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("eid"), F.col("source").alias("title"), F.col("text").alias("doc"), F.col("n_chars").alias("citedby_count"))
@@ -327,11 +324,6 @@ def facts_document(spark: SparkSession, d: str) -> DataFrame:
     return facts.facts(papers, views.subfields(spark, d), views.authors(spark, d), views.affils(spark, d))
 
 
-@query("edges_by_year", sql("SELECT a.year, a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM (SELECT DISTINCT eid, 1995 AS year, auid FROM january_v) a JOIN (SELECT DISTINCT eid, auid FROM january_v) b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL"))
-def edges_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges_by_year(views.authors(spark, d, views.JANUARY))
-
-
 @query("citation_aging", sql("SELECT subfield, year, count(eid)::BIGINT AS n_papers, avg(citedby_count) AS mean_citations FROM subfields_v GROUP BY ALL"))
 def citation_aging(spark: SparkSession, d: str) -> DataFrame:
     return trends.citation_aging(views.subfields(spark, d))
