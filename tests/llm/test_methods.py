@@ -11,9 +11,13 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from papertide.llm import decontaminate, language, mixing, pii, quality, quotations, secrets, simhash, similar
+from papertide.llm.shared import stored
 
 from . import brute
+from .test_native_operators import check_mix
+from .test_similar import grams
 
 DOCS = "doc_id long, text string, lang string, source string"
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -288,3 +292,49 @@ def test_texts_without_words(spark, texts):
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
     assert secrets.redact(df).count() == len(texts) and pii.sanitise(df).count() == len(texts)
     assert similar.similar_filter(df).count() == min(1, len(texts))
+
+
+# the pipeline on rows of every kind
+
+
+def plain_kept(text):
+    n_words, chars, _, _, _, failed = brute.quality(text)
+    if failed or any(brute.dup_chars(text, n) > limit * chars for n, limit in quality.GRAM_LIMITS.items()):
+        return False
+    lines = [x for x in text.split("\n") if brute.words(x)]
+    again = sum(len(x) for k, x in enumerate(lines) if x in lines[:k])
+    return again <= 0.3 * sum(map(len, lines))
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, rows, tmp_path):
+    leaked = " ".join(f"b{k}" for k in range(100))
+    data = [r[:5] for r in rows] + [(3, leaked, "en", "a", 1), (None, "tail " + leaked, None, None, None), (None, " ".join(f"n{k}" for k in range(70)) + " password=hunter2hunter2", None, None, 5)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    items = [(1, " ".join(f"b{k}" for k in range(10, 30)))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    d = f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        steps.append(stored(stage(spark, steps[-1], d)))
+        assert steps[-1].columns == docs.columns
+    key = lambda x: tuple((v is not None, v) for v in x)
+    now = [sorted((tuple(r) for r in s.collect()), key=key) for s in steps]
+    assert now[1] == sorted((r for r in data if plain_kept(r[1] or "")), key=key)
+    # of each group of linked texts the row with the smallest id, one without an id last
+    sets = [grams(r[1]) for r in now[1]]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for g, r in zip(group, now[1], strict=True):
+        best[g] = min(best.get(g, (2,)), (r[0] is None, r[0] or 0))
+    assert sorted((r[0] is None, r[0] or 0) for r in now[2]) == sorted(best.values())
+    assert all(r in now[1] for r in now[2])
+    assert now[3] == [r for r, x in zip(now[2], brute.decontaminate([r[:2] for r in now[2]], items), strict=True) if not x[-1]]
+    assert [(r[0], r[1].replace("password=hunter2hunter2", "[SECRET]")) for r in now[3]] == [r[:2] for r in sorted(now[4], key=lambda x: key((*x[:1], x[1].replace("[SECRET]", "password=hunter2hunter2"))))]
+    mixed = corpus_pipeline.run(spark, d).collect()
+    check_mix([r[:4] for r in now[4]], [*mixed, *(x for x in mixing.mix(steps[4]).where("taken = 0").collect())])
