@@ -200,7 +200,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # labels must be unique to fingerprints even where ids repeat or are null
     nodes = owners.select(F.col("fp").alias("node"), F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp")).alias("label"))
     # few bytes make many list entries: dealt out first, so that a handful of files is not a handful of tasks
-    links = fingerprint_links(owners.select("fp").repartition("fp"), bits)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = fingerprint_links(owners.select("fp").repartition(parts, "fp"), bits)
     comps = stored(connected_components(nodes, links).select(F.col("node").alias("fp"), F.col("label.id").alias("component_id")))
     discard(owners)
     return prints.join(comps, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
