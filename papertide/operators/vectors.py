@@ -273,14 +273,19 @@ def discover_topics(papers: DataFrame, vectors: DataFrame, settings: ClusterSett
     return out, topic_summary(out, settings.top_terms)
 
 
-def topic_summary(topics: DataFrame, top_terms: int = 12, top_titles: int = 5, stop_words: list[str] | None = None) -> DataFrame:
-    """Papers, citations, leading terms and most cited titles of each topic; without other stop words, English ones are left out."""
+def topic_sums(topics: DataFrame, top_titles: int = 5) -> DataFrame:
+    """Papers, citations and most cited titles of each topic."""
     sums = topics.groupBy("topic").agg(F.first("topic_label").alias("label"), F.count("*").alias("n_papers"), F.sum("citedby_count").alias("total_citations"))
-    terms = ctfidf(topics, "topic", "eid", "doc", top_terms, stop_words).groupBy(F.col("cluster").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("terms"))
     order = W.partitionBy("topic").orderBy(F.desc("citedby_count"), "eid")
     titles = topics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_titles).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]).alias("titles"))
-    out = sums.join(terms, "topic", "left").join(titles, "topic", "left")
-    return out.select("topic", "label", F.when(F.col("topic") < 0, "").otherwise(F.array_join(F.slice("terms", 1, 5), ", ")).alias("summary"), "n_papers", "total_citations", F.array_join("terms", ", ").alias("top_terms"), F.array_join("titles", " | ").alias("rep_titles")).orderBy(F.desc("n_papers"), "topic")
+    return sums.join(titles, "topic", "left").select("topic", "label", "n_papers", "total_citations", F.array_join("titles", " | ").alias("rep_titles"))
+
+
+def topic_summary(topics: DataFrame, top_terms: int = 12, top_titles: int = 5, stop_words: list[str] | None = None) -> DataFrame:
+    """Papers, citations, leading terms and most cited titles of each topic; without other stop words, English ones are left out."""
+    terms = ctfidf(topics, "topic", "eid", "doc", top_terms, stop_words).groupBy(F.col("cluster").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("terms"))
+    out = topic_sums(topics, top_titles).join(terms, "topic", "left")
+    return out.select("topic", "label", F.when(F.col("topic") < 0, "").otherwise(F.array_join(F.slice("terms", 1, 5), ", ")).alias("summary"), "n_papers", "total_citations", F.array_join("terms", ", ").alias("top_terms"), "rep_titles").orderBy(F.desc("n_papers"), "topic")
 
 
 def relabelled(summary: DataFrame, names: DataFrame) -> DataFrame:

@@ -299,7 +299,8 @@ SELECT topic, 'Topic ' || topic AS label, count(*)::BIGINT AS n_papers, sum(cite
   (SELECT string_agg(title, ' | ' ORDER BY citedby_count DESC, eid) FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY citedby_count DESC, eid) AS r FROM t) x WHERE r <= 5 AND x.topic = t.topic) AS rep_titles FROM t GROUP BY topic""",
 )
 def topic_summary(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.topic_summary(_clustered(spark, d)).select("topic", "label", "n_papers", "total_citations", "rep_titles")
+    """Without the terms, which ``topic_terms`` has."""
+    return vectors.topic_sums(_clustered(spark, d))
 
 
 @query("topics")
