@@ -66,7 +66,7 @@ def legacy_relevant(df: DataFrame) -> DataFrame:
 
 
 def legacy_window(df: DataFrame, as_of: str) -> DataFrame:
-    """Papers of the ten years up to a day, by their full date."""
+    """Papers of the ten years up to a day, by their full date; both ends count, and 29 February goes back to the 28th."""
     day = F.lit(as_of).cast("date")
     return df.where(F.to_date("cover_date").between(F.add_months(day, -120), day))
 

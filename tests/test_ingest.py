@@ -67,6 +67,14 @@ def test_candidates(spark):
     assert (got["b"].year, got["b"].citedby_count) == (None, 0)
 
 
+def test_legacy_window_ends_in_february(spark):
+    """The window starts on the same day ten years before, which is not moved to the end of its month."""
+    df = spark.createDataFrame([("1996-02-27",), ("1996-02-28",), ("1996-02-29",), ("2006-02-28",), ("2006-03-01",), (None,)], "cover_date string")
+    assert [r[0] for r in candidates.legacy_window(df, "2006-02-28").orderBy("cover_date").collect()] == ["1996-02-28", "1996-02-29", "2006-02-28"]
+    df = spark.createDataFrame([("1998-02-27",), ("1998-02-28",), ("2008-02-29",)], "cover_date string")
+    assert [r[0] for r in candidates.legacy_window(df, "2008-02-29").orderBy("cover_date").collect()] == ["1998-02-28", "2008-02-29"]
+
+
 def test_search_predicate(spark):
     s = Settings(as_of_year=2026)
     q = candidates.search_query(s)
