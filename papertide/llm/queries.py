@@ -6,6 +6,7 @@ from . import mixing, oracles, urls
 from .decontaminate import op8_decontamination
 from .language import op2_language_id
 from .mixing import op6_mixing
+from .pieces import op12_sentencepiece
 from .pii import op9_pii
 from .quality import op1_quality_rules
 from .quotations import op5_quotation_linking
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 SQL: dict[str, str] = {
