@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, oracles, urls
+from . import audit, mixing, oracles, urls
+from .audit import op11_filter_audit
 from .decontaminate import op8_decontamination
 from .language import op2_language_id
 from .mixing import op6_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_filter_audit": op11_filter_audit,
     "op12_sentencepiece": op12_sentencepiece,
 }
 
@@ -36,4 +38,5 @@ SQL: dict[str, str] = {
     "op5_quotation_linking": oracles.QUOTATIONS,
     "op6_mixing": mixing.SQL,
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op11_filter_audit": audit.SQL,
 }
