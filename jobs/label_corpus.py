@@ -67,18 +67,20 @@ def _replace(df: DataFrame, path: str) -> int:
 def run(spark: SparkSession, documents: str, output: str, config: dict | None = None) -> None:
     """Takes what is new under ``documents`` and returns when it is written."""
     config = config or settings()
+    taken: list[int] = []
 
     def take(batch: DataFrame, number: int) -> None:
         part = F.lit(number).cast("long").alias("batch")
         n = _replace(labelled(batch, config).select("*", part), f"{output}/documents")
         written = spark.read.schema(DOCUMENTS).parquet(f"{output}/documents").where(F.col("batch") == number)
         k = _replace(counted(written).select("*", part), f"{output}/counts")
+        taken.append(n)
         log.info("batch %d: wrote %d documents and %d counts under %s", number, n, k, output)
 
     files = spark.readStream.schema(TEXTS).option("maxBytesPerTrigger", config["bytes_per_batch"]).parquet(documents)
     stream = files.writeStream.foreachBatch(take).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    log.info("read %d new documents from %s", sum(p.numInputRows for p in stream.recentProgress), documents)
+    log.info("read %d new documents from %s", sum(taken), documents)
 
 
 def label_counts(spark: SparkSession, output: str) -> DataFrame:
