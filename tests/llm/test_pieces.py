@@ -88,3 +88,12 @@ def test_a_long_text(spark, library):
     ids = library.encode(text, add_eos=True)
     assert row.agrees and row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_side_by_side(own):
+    """Many chunks at once, and each by its own agenda."""
+    r = random.Random(8)
+    chunks = ["".join(r.choice("▁" if not k else "theingaeoàß") for k in range(r.randrange(2, 30))) for _ in range(500)]
+    chunks = [c for c in chunks if own.chunk.fullmatch(c)]
+    assert len(chunks) > 300
+    assert list(own.merged_together(chunks)) == [tuple(own.merged(c)) for c in chunks]
