@@ -24,4 +24,14 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, in a folder ``papertide-*`` that may be deleted with what is derived from it."""
     path = f"{shared_dir(df.sparkSession)}/papertide-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables once all that is derived from them, and will be needed, is stored."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
