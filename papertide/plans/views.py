@@ -41,8 +41,6 @@ def authors(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     return o.join(line, "eid").join(names, "auid").select("eid", "year", "auid", "name", "citedby_count")
 
 
-JANUARY = "o_orderdate >= timestamp'1995-01-01' AND o_orderdate < timestamp'1995-02-01'"
-
 
 def affils(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_suppkey").alias("s_suppkey"))
@@ -65,8 +63,6 @@ SQL = {
     "keywords_v": "SELECT eid, year, citedby_count, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS raw FROM papers_v JOIN lineitem ON l_orderkey = eid JOIN part ON l_partkey = p_partkey",
     "terms_v": "SELECT eid, year, citedby_count, lower(trim(raw)) AS term FROM keywords_v WHERE length(trim(raw)) > 1",
     "authors_v": "SELECT eid, year, citedby_count, l_suppkey AS auid, s_name AS name FROM papers_v JOIN lineitem ON l_orderkey = eid JOIN supplier ON l_suppkey = s_suppkey",
-    "january_v": "SELECT DISTINCT l_orderkey AS eid, l_suppkey AS auid FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'",
-    "edges_v": "SELECT a.auid AS src, b.auid AS dst, count(*)::BIGINT AS weight FROM january_v a JOIN january_v b ON a.eid = b.eid AND a.auid < b.auid GROUP BY ALL",
     "affils_v": "SELECT eid, year, citedby_count, n_nationkey AS afid, n_name AS name, r_name AS country FROM papers_v JOIN lineitem ON l_orderkey = eid JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "annotated_v": "SELECT d.doc_id, (1995 + d.doc_id % 7)::INT AS year, CASE WHEN lang = 'en' THEN 'multi_center' ELSE 'unknown' END AS data_regime, lang, source, quality = 1 AS external_validation, toxic = 1 AS code_available, quality = 1 AS is_ai_relevant FROM documents d LEFT JOIN labels USING (doc_id)",
     "counts_v": "SELECT year, subfield, count(*)::BIGINT AS n FROM subfields_v GROUP BY ALL",
