@@ -33,6 +33,11 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def _words(docs: DataFrame, cluster_col: str, order_col: str, text_col: str, stop_words: list[str] | None) -> DataFrame:
+    words = tokens(F.coalesce(F.col(text_col), F.lit("")), stop_words)
+    return docs.where(F.col(cluster_col).isNotNull()).select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("ord"), words.alias("words")).where(F.size("words") > 0)
+
+
 def cluster_terms(docs: DataFrame, cluster_col: str, order_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
     """``(cluster, term, tf)`` of all words and bigrams of a cluster's texts put together in order.
 
@@ -40,29 +45,34 @@ def cluster_terms(docs: DataFrame, cluster_col: str, order_col: str, text_col: s
     has any.  Texts are never concatenated: a text's own words and bigrams are
     counted where it is, and only its first and last word meet its neighbours'.
     """
-    words = tokens(F.coalesce(F.col(text_col), F.lit("")), stop_words)
-    each = docs.where(F.col(cluster_col).isNotNull()).select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("ord"), words.alias("words")).where(F.size("words") > 0)
-    inner = each.select("cluster", F.explode(with_bigrams(F.col("words"))).alias("term"))
-    ends = each.select("cluster", "ord", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
-    before = _previous(ends, "cluster", "ord", "last")
-    seams = before.where("prev IS NOT NULL").select("cluster", F.concat_ws(" ", "prev", "first").alias("term"))
-    return inner.unionByName(seams).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    inner = _words(docs, cluster_col, order_col, text_col, stop_words).select("cluster", F.explode(with_bigrams(F.col("words"))).alias("term"))
+    return inner.unionByName(seams(docs, cluster_col, order_col, text_col, stop_words)).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
 
 
-def _previous(df: DataFrame, key: str, order: str, value: str, buckets: int = 64) -> DataFrame:
-    """Adds ``prev``: the value of the row before, within the key.
+def seams(docs: DataFrame, cluster_col: str, order_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """``(cluster, term)``: the bigrams that lie across two texts, one for each text with a word but a cluster's first.
 
-    Rows are dealt by ranges of the order column, a number, and only the last
-    row of every range crosses over.
+    The order may be of any type that sorts, text ids as well as numbers.
     """
-    edges = df.select(F.percentile_approx(F.col(order).try_cast("double"), [k / buckets for k in range(1, buckets)], 10000)).scalar()
-    rows = df.withColumn("__edges", edges).withColumn("__bucket", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(order).try_cast("double"))), F.lit(0))).drop("__edges")
-    in_bucket = W.partitionBy(key, "__bucket").orderBy(order)
-    rows = rows.withColumn("__prev", F.lag(value).over(in_bucket)).withColumn("__first", F.row_number().over(in_bucket) == 1)
-    lasts = rows.groupBy(key, "__bucket").agg(F.max_by(value, order).alias("__last"))
-    carried = lasts.withColumn("__carried", F.lag("__last").over(W.partitionBy(key).orderBy("__bucket"))).drop("__last")
-    out = rows.join(carried, [key, "__bucket"])
-    return out.withColumn("prev", F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__prev"))).drop("__bucket", "__prev", "__first", "__carried")
+    each = _words(docs, cluster_col, order_col, text_col, stop_words)
+    ends = each.select("cluster", "ord", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
+    before = with_previous(ranged(ends, "cluster", "ord", "first", "last"), "cluster", "last", "ord", "first", "last")
+    return before.where("prev IS NOT NULL").select("cluster", F.concat_ws(" ", "prev", "first").alias("term"))
+
+
+def ranged(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df``, stored by ranges of key and order: ``bucket`` numbers them in that order, so that a key of very many rows has many."""
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(many, key, *order).withColumn("bucket", F.spark_partition_id()))
+
+
+def with_previous(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """``prev``: the value of the row before within the key; of each bucket of ``ranged`` only the last row crosses over."""
+    in_bucket = W.partitionBy(key, "bucket").orderBy(*order)
+    lasts = rows.groupBy(key, "bucket").agg(F.max_by(value, F.struct(*order)).alias("its_last"))
+    carried = lasts.select(key, "bucket", F.lag("its_last").over(W.partitionBy(key).orderBy("bucket")).alias("carried"))
+    inside = rows.withColumn("inside", F.lag(value).over(in_bucket)).withColumn("opens", F.row_number().over(in_bucket) == 1)
+    return inside.join(carried, [key, "bucket"]).withColumn("prev", F.when(F.col("opens"), F.col("carried")).otherwise(F.col("inside"))).drop("bucket", "inside", "opens", "carried")
 
 
 def ctfidf(docs: DataFrame, cluster_col: str = "cluster", order_col: str = "eid", text_col: str = "doc", top_n: int | None = 12, stop_words: list[str] | None = None) -> DataFrame:

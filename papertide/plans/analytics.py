@@ -209,6 +209,17 @@ def doc_terms_ctfidf(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(text.ctfidf(docs, "lang", "doc_id", "text", 12, ["the", "de", "der", "la"]), 9, "score")
 
 
+@query(
+    "bigrams_across_texts",
+    """WITH words AS (SELECT source, '2-s2.0-' || doc_id AS eid, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda x: NOT list_contains(['the', 'de', 'der', 'la'], x)) AS ws FROM documents)
+SELECT cluster, term, count(*)::BIGINT AS n FROM (SELECT source AS cluster, lag(ws[-1]) OVER (PARTITION BY source ORDER BY eid) || ' ' || ws[1] AS term FROM words WHERE len(ws) > 0) WHERE term IS NOT NULL GROUP BY ALL""",
+)
+def bigrams_across_texts(spark: SparkSession, d: str) -> DataFrame:
+    """In the order of text ids, as papers have them."""
+    docs = views.table(spark, d, "documents").select(F.concat(F.lit("2-s2.0-"), "doc_id").alias("eid"), "source", "text")
+    return text.seams(docs, "source", "eid", "text", ["the", "de", "der", "la"]).groupBy("cluster", "term").agg(F.count("*").alias("n"))
+
+
 @query("json_props", "SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN json_extract_string(props, '$.k') END AS k, CASE WHEN json_extract(props, '$.k') IS NULL THEN 0 ELSE 1 END::INT AS n_values FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = views.table(spark, d, "events").select("event_id", at(F.try_parse_json("props"), "k").alias("v"))

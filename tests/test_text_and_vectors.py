@@ -29,6 +29,26 @@ def test_ctfidf(spark):
     assert {r["rank"] for r in ranked} == {1, 2}
 
 
+def test_order_by_text_ids(spark):
+    """Text ids sort as text; a cluster that most rows have lies in several buckets, of which only ends cross over."""
+    rng = np.random.default_rng(4)
+    docs = [("hot" if i % 5 else f"c{i % 3}", f"2-s2.0-{int(rng.integers(10**6))}x{i}", " ".join(rng.choice(["aa", "bb", "cc", "dd"], int(rng.integers(0, 4))))) for i in range(400)]
+    df = spark.createDataFrame(docs, "cluster string, eid string, doc string").repartition(7)
+    got = {(r.cluster, r.term): r.score for r in text.ctfidf(df, "cluster", "eid", "doc", None, []).collect()}
+    assert got == pytest.approx(plain_ctfidf(docs))
+    rows = text.ranged(df, "cluster", "eid")
+    ranges = rows.groupBy("bucket").agg(F.min(F.struct("cluster", "eid")).alias("lo"), F.max(F.struct("cluster", "eid")).alias("hi")).orderBy("bucket").collect()
+    assert rows.where("cluster = 'hot'").select("bucket").distinct().count() > 1
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(ranges, ranges[1:]))
+
+
+def test_previous_of_null_and_equal_orders(spark):
+    rows = [("k", None, "a"), ("k", 1, "b"), ("k", 1, "c"), ("k", 3, None), ("k", 4, "e"), ("j", 2, "z")]
+    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(4)
+    got = text.with_previous(text.ranged(df, "k", "o", "v"), "k", "v", "o", "v").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([("k", None, "a", None), ("k", 1, "b", "a"), ("k", 1, "c", "b"), ("k", 3, None, "c"), ("k", 4, "e", None), ("j", 2, "z", None)], key=str)
+
+
 def test_bigrams_of_short_lists(spark):
     df = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "w array<string>")
     assert [r.x for r in df.select(text.with_bigrams(F.col("w")).alias("x")).collect()] == [[], ["a"], ["a", "b", "c", "a b", "b c"]]
