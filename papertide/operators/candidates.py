@@ -9,6 +9,10 @@ from ..config import LEGACY_TERMS, Settings
 from ..functions.text import bare_id, number, year_of
 
 
+#: Columns of the older script's top lists.
+LEGACY_COLUMNS = ("year", "cover_date", "citedby_count", "citations_per_year", "title", "authors", "doi")
+
+
 def search_query(settings: Settings) -> str:
     """What the search source is asked for."""
     first = settings.as_of_year - settings.years_back + 1
@@ -79,3 +83,27 @@ def legacy_per_year(df: DataFrame, as_of_year: int) -> DataFrame:
 
 def legacy_top(df: DataFrame, by: str = "citedby_count", n: int = 25) -> DataFrame:
     return df.orderBy(F.desc(by), "eid").limit(n)
+
+
+def legacy_scored(df: DataFrame, as_of_year: int) -> DataFrame:
+    """Dated papers with citations per year of age, without a lower bound; an age of 0 gives null."""
+    return df.where("year IS NOT NULL").withColumn("citations_per_year", F.try_divide(F.col("citedby_count"), F.lit(as_of_year) - F.col("year") + 1))
+
+
+def legacy_report(found: DataFrame, as_of_year: int, n: int = 25) -> dict[str, DataFrame]:
+    """The older script's six tables; ``sources.tables.save_csv`` writes those that have rows.
+
+    ``found`` has the columns of LEGACY_COLUMNS and ``eid``, ``title`` and
+    ``description``.  Without a relevant paper only ``all_papers`` has rows.
+    """
+    kept = legacy_scored(legacy_relevant(found), as_of_year)
+    per_year = legacy_per_year(kept, as_of_year)
+    top = lambda by: legacy_top(kept, by, n).select(*LEGACY_COLUMNS)
+    return {
+        "all_papers": found,
+        "relevant_papers": kept.orderBy(F.desc("year"), F.desc("citedby_count"), "eid"),
+        "papers_per_year": per_year.select("year", "n_papers"),
+        "citations_by_year": per_year.select("year", "total_citations"),
+        "most_cited": top("citedby_count"),
+        "fastest_growing": top("citations_per_year"),
+    }

@@ -26,6 +26,8 @@ from .text import ctfidf
 OUTLIERS = "Outliers / unclustered"
 #: Points that are compared with as many others in one task.
 BLOCK = 5_000
+#: Centres and vectors that one task compares.
+CENTRES, VECTORS = 10_000, 50_000
 
 
 def l2_normalized(v: Column) -> Column:
@@ -233,24 +235,61 @@ def topic_centres(vectors: DataFrame, topics: DataFrame, id_col: str, vector_col
     return mean.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("c")).select("topic", l2_normalized(F.col("c")).alias("centre"))
 
 
-def nearest_topic(vectors: DataFrame, centres: DataFrame, id_col: str, vector_col: str, most_topics: int = 10_000) -> DataFrame:
-    """``(id, topic, similarity)`` for any number of vectors; the centres, at most ``most_topics``, are sent to all executors."""
-    rows = centres.orderBy("topic").limit(most_topics + 1).collect()
-    if len(rows) > most_topics:
-        raise ValueError(f"more than {most_topics} topics")
-    if not rows:
-        return vectors.select(id_col, F.lit(-1).alias("topic"), F.lit(None).cast("double").alias("similarity"))
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["topic"] for r in rows]), np.array([r["centre"] for r in rows], np.float32)))
+def nearest_topic(vectors: DataFrame, centres: DataFrame, id_col: str, vector_col: str, block: int = CENTRES) -> DataFrame:
+    """``(id, topic, similarity)`` for any number of vectors and centres; of equal similarities the smallest topic.
+
+    Up to ``block`` centres are sent to all executors.  More are dealt into
+    blocks, which blocks of vectors meet one by one: a task holds one of each
+    and gives the best of its centres, and the best of those is taken.  Without
+    centres the topic is -1 and the similarity null.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
+    unit = vectors.select(F.col(f"`{id_col}`").alias("id"), l2_normalized(F.col(vector_col)).alias("v"))
+    few = centres.orderBy("topic").limit(block + 1).collect()
+    if not few:
+        return vectors.select(id_col, F.lit(-1).alias("topic"), F.lit(None).cast("double").alias("similarity"))
+    if len(few) > block:
+        return _nearest_by_blocks(unit, centres, block).select(F.col("id").alias(id_col), "topic", "similarity")
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["topic"] for r in few]), np.array([r["centre"] for r in few], np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, c = sent.value
         for b in batches:
             if len(b):
-                s = np.stack(b["v"].to_numpy()).astype(np.float32) @ c.T
-                yield pd.DataFrame({id_col: b[id_col], "topic": names[s.argmax(1)].astype("int32"), "similarity": s.max(1).astype("float64")})
+                topic, similarity = _best(b["v"], *sent.value)
+                yield pd.DataFrame({"id": b["id"], "topic": topic, "similarity": similarity})
 
-    return vectors.select(id_col, l2_normalized(F.col(vector_col)).alias("v")).mapInPandas(run, f"`{id_col}` {kind}, topic int, similarity double")
+    return unit.mapInPandas(run, f"id {kind}, topic int, similarity double").withColumnRenamed("id", id_col)
+
+
+def _best(vectors: pd.Series, topics: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of some centres, in order of their topics, to each vector, some MB of products at a time."""
+    x = np.stack(vectors.to_numpy()).astype(np.float32)
+    at, similarity = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, (1 << 22) // len(centres))
+    for lo in range(0, len(x), step):
+        s = x[lo : lo + step] @ centres.T
+        at[lo : lo + step], similarity[lo : lo + step] = s.argmax(1), s.max(1)
+    return topics[at].astype("int32"), similarity
+
+
+def _nearest_by_blocks(unit: DataFrame, centres: DataFrame, block: int) -> DataFrame:
+    n, k = unit.count(), centres.count()
+    mine, theirs = max(1, -(-n // VECTORS)), -(-k // block)
+    # rows are numbered, not keyed by their ids, which may be repeated or null
+    rows = stored(unit.withColumn("row", F.monotonically_increasing_id()))
+    left = rows.withColumn("p", F.pmod(F.xxhash64("row"), F.lit(mine))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    right = centres.select("topic", "centre", F.pmod(F.xxhash64("topic"), F.lit(theirs)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(mine - 1).cast("bigint"))).alias("p"))
+
+    def meet(v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(c):
+            return pd.DataFrame({"row": [], "topic": [], "similarity": []})
+        c = c.sort_values("topic")
+        topic, similarity = _best(v["v"], c["topic"].to_numpy(), np.stack(c["centre"].to_numpy()).astype(np.float32))
+        return pd.DataFrame({"row": v["row"].to_numpy(), "topic": topic, "similarity": similarity})
+
+    met = left.select("p", "q", "row", "v").groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "row bigint, topic int, similarity double")
+    best = met.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("topic")).alias("least"))).alias("best"))
+    return rows.select("id", "row").join(best, "row").select("id", (-F.col("best.least")).alias("topic"), "best.similarity")
 
 
 def discover_topics(papers: DataFrame, vectors: DataFrame, settings: ClusterSettings = ClusterSettings()) -> tuple[DataFrame, DataFrame]:

@@ -382,3 +382,9 @@ def legacy_per_year(spark: SparkSession, d: str) -> DataFrame:
 @query("legacy_top", sql("SELECT eid, citedby_count FROM papers_v ORDER BY citedby_count DESC, eid LIMIT 25"))
 def legacy_top(spark: SparkSession, d: str) -> DataFrame:
     return candidates.legacy_top(views.papers(spark, d)).select("eid", "citedby_count")
+
+
+@query("legacy_fastest_growing", sql("SELECT eid, year, citedby_count, round_even(citedby_count / nullif(2002 - year + 1, 0)::DOUBLE, 6) AS citations_per_year FROM papers_v ORDER BY citedby_count / nullif(2002 - year + 1, 0)::DOUBLE DESC NULLS LAST, eid LIMIT 25"))
+def legacy_fastest_growing(spark: SparkSession, d: str) -> DataFrame:
+    top = candidates.legacy_top(candidates.legacy_scored(views.papers(spark, d), views.AS_OF_YEAR), "citations_per_year")
+    return _rounded(top.select("eid", "year", "citedby_count", "citations_per_year"), 6, "citations_per_year")

@@ -9,6 +9,7 @@ from papertide.functions import text as T
 from papertide.functions import variant as V
 from papertide.operators import annotate, cache, candidates, ingest, taxonomy
 from papertide.schemas import ANNOTATION
+from papertide.sources import tables
 
 FULL = {
     "coredata": {"dc:identifier": "SCOPUS_ID:77", "prism:doi": "10/x", "dc:title": "Deep learning of texture", "dc:description": "We segment 120 patients in a multicenter study.", "prism:coverDate": "2021-03-01", "citedby-count": "12.7", "subtypeDescription": "Article", "openaccess": "1"},
@@ -202,3 +203,18 @@ def test_acquire_and_save(spark, tmp_path):
     assert "papers_per_year" in names and "author_influence" in names and "keyword_bursts" not in names
     assert spark.read.parquet(f"file://{tmp_path}/out/tables/labeled.parquet").count() == 1
     assert (tmp_path / "out" / "report_facts.json").exists() and (tmp_path / "out" / "report.md").exists()
+
+
+def test_legacy_report(spark, tmp_path):
+    rows = [("a", 2020, "2020-01-01", 9, "Deep learning", None, "X", "1"), ("b", 2024, "2024-01-01", 8, "CNN", "", "Y", None), ("c", 2024, "2024-02-01", 50, "Bones", None, "Z", "3"), ("d", None, None, 7, "cnn", None, None, None), ("e", 2024, "2024-03-01", 0, "Radiomics", None, "Y", None)]
+    found = spark.createDataFrame(rows, "eid string, year int, cover_date string, citedby_count long, title string, description string, authors string, doi string")
+    report = candidates.legacy_report(found, 2024, 2)
+    assert [r.eid for r in report["relevant_papers"].collect()] == ["b", "e", "a"]
+    assert [tuple(r) for r in report["papers_per_year"].collect()] == [(2020, 1), (2024, 2)]
+    assert [tuple(r) for r in report["citations_by_year"].collect()] == [(2020, 9), (2024, 8)]
+    assert [r.title for r in report["most_cited"].collect()] == ["Deep learning", "CNN"]
+    assert [(r.title, r.citations_per_year) for r in report["fastest_growing"].collect()] == [("CNN", 8.0), ("Deep learning", 1.8)]
+    assert report["most_cited"].columns == ["year", "cover_date", "citedby_count", "citations_per_year", "title", "authors", "doi"]
+    assert sorted(tables.save_csv(report, f"file://{tmp_path}", "legacy")) == sorted(report)
+    assert spark.read.csv(f"file://{tmp_path}/legacy_most_cited.csv", header=True).count() == 2
+    assert tables.save_csv(candidates.legacy_report(found.where("eid = 'c'"), 2024), f"file://{tmp_path}/none", "legacy") == ["all_papers"]

@@ -129,3 +129,26 @@ def test_density_clusters_by_blocks(spark):
     for block in (1000, 60, 25):
         got = {r.eid: r.topic for r in vectors.density_clusters(df, "eid", block=block).collect()}
         assert [got[i] for i in sorted(got)] == expected.tolist()
+
+
+def test_nearest_of_very_many_centres(spark, monkeypatch):
+    """20,000 centres in blocks: as by comparing all; ids that repeat or are null are rows of their own."""
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=(20_000, 4)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[150] = c[19_000]
+    x = np.concatenate([rng.normal(size=(298, 4)), c[[150, 7]]]).astype(np.float32)
+    ids = [None, 5, 5, *range(10, 307)]
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "topic int, centre array<float>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "eid long, vector array<float>")
+    monkeypatch.setattr(vectors, "VECTORS", 120)
+    got = vectors.nearest_topic(df, centres, "eid", "vector").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ c.T
+    assert len(got) == len(x) and got[0].__fields__ == ["eid", "topic", "similarity"]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert [r[:2] for r in sorted(map(tuple, got), key=key)] == sorted(zip(ids, s.argmax(1).tolist()), key=key)
+    assert sorted(r.similarity for r in got) == pytest.approx(sorted(s.max(1).tolist()), rel=1e-6)
+    assert {r.topic for r in got if r.eid == 305} == {150}
+    small = vectors.nearest_topic(df, centres, "eid", "vector", block=30_000).collect()
+    assert sorted(((r.eid or -1, r.topic) for r in small)) == sorted(((r.eid or -1, r.topic) for r in got))
