@@ -62,7 +62,11 @@ def subfield_growth(long: DataFrame) -> DataFrame:
 
     A first count of 0 gives a null rate, a last count of 0 gives -1.
     """
-    counts = subfield_counts(long)
+    return growth_of(subfield_counts(long))
+
+
+def growth_of(counts: DataFrame) -> DataFrame:
+    """``subfield_growth`` from the counts of ``subfield_counts``."""
     bounds = _middle(counts.select("year").distinct())
 
     def total(when: Column) -> Column:
@@ -97,7 +101,11 @@ def term_trends(papers: DataFrame, col: str = "author_keywords", top_n: int = 25
 
 def burst_detection(papers: DataFrame, col: str = "author_keywords", min_total: int = 3) -> DataFrame:
     """Each term's peak year against its mean over the years in which it occurs; of equal peaks the earliest."""
-    by_year = terms(papers, col).where("year IS NOT NULL").groupBy("term", "year").agg(F.count("*").alias("n"))
+    return bursts_of(terms(papers, col).where("year IS NOT NULL").groupBy("term", "year").agg(F.count("*").alias("n")), min_total)
+
+
+def bursts_of(by_year: DataFrame, min_total: int = 3) -> DataFrame:
+    """``burst_detection`` from ``(term, year, n)``, each term and year once."""
     g = by_year.groupBy("term").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("year")).alias("y"))).alias("peak"), F.count("*").alias("n_years")).where(F.col("total") >= min_total)
     return g.select("term", "total", (-F.col("peak.y")).alias("peak_year"), F.col("peak.n").alias("peak_count"), (F.col("peak.n") / (F.col("total") / F.col("n_years"))).alias("burst_score")).orderBy(F.desc("burst_score"), "term")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.variant import at, one_or_many, text_of, to_bool
@@ -364,6 +364,56 @@ def facts_document(spark: SparkSession, d: str) -> DataFrame:
     return facts.facts(papers, views.subfields(spark, d), views.authors(spark, d), views.affils(spark, d))
 
 
+#: Sections of the facts: what an item is called by, and measures that are whole numbers or rounded.
+FACTS = {
+    "yearly": ("year", ("n_papers", "total_citations")),
+    "subfield_growth": ("subfield", ("total", "early_count", "recent_count", "recent_minus_early")),
+    "hype_vs_impact": ("subfield", ("n_papers", "total_citations")),
+    "keyword_bursts": ("term", ("total", "peak_year", "peak_count")),
+    "emerging_keywords": ("term", ("first_year", "last_year", "total", "total_citations")),
+    "top_cited_overall": ("title", ("citations", "citations_per_year")),
+    "top_authors": ("name", ("n_papers", "total_citations")),
+    "top_institutions": ("name", ("n_papers", "total_citations")),
+    "impact_keywords": ("term", ("n_papers", "total_citations", "mean_citations")),
+}
+_TERMS = "(SELECT eid, year, citedby_count, lower(trim(raw)) AS term FROM (SELECT DISTINCT eid, year, citedby_count, raw FROM keywords_v) WHERE length(trim(raw)) > 1)"
+FACTS_SQL = {
+    "yearly": "SELECT year, count(*) AS n_papers, sum(citedby_count) AS total_citations FROM papers_v GROUP BY year",
+    "subfield_growth": """SELECT subfield, sum(n) AS total, coalesce(sum(n) FILTER (WHERE year <= mid), 0) AS early_count, coalesce(sum(n) FILTER (WHERE year > mid), 0) AS recent_count,
+      coalesce(sum(n) FILTER (WHERE year > mid), 0) - coalesce(sum(n) FILTER (WHERE year <= mid), 0) AS recent_minus_early FROM counts_v, mid_v GROUP BY subfield""",
+    "hype_vs_impact": "SELECT subfield, count(eid) AS n_papers, sum(citedby_count) AS total_citations FROM subfields_v GROUP BY subfield",
+    "keyword_bursts": f"""SELECT term, sum(n) AS total, arg_max(year, n * 10000 - year) AS peak_year, max(n) AS peak_count FROM (SELECT term, year, count(*) AS n FROM {_TERMS} GROUP BY ALL) GROUP BY term HAVING sum(n) >= 3
+      ORDER BY max(n) / (sum(n) / count(*)::DOUBLE) DESC, term LIMIT 15""",
+    "emerging_keywords": f"SELECT term, min(year) AS first_year, max(year) AS last_year, count(eid) AS total, sum(citedby_count) AS total_citations FROM {_TERMS} GROUP BY term HAVING count(eid) >= 2 ORDER BY first_year DESC, total DESC, term LIMIT 20",
+    "top_cited_overall": "SELECT title, citedby_count AS citations, round_even(citations_per_year, 1) AS citations_per_year FROM papers_v ORDER BY citedby_count DESC, eid LIMIT 5",
+    "top_authors": "SELECT name, n_papers, total_citations FROM (SELECT auid, name, count(DISTINCT eid) AS n_papers, sum(citedby_count) AS total_citations FROM authors_v GROUP BY auid, name ORDER BY total_citations DESC, n_papers DESC, auid LIMIT 15)",
+    "top_institutions": "SELECT name, n_papers, total_citations FROM (SELECT afid, name, country, count(DISTINCT eid) AS n_papers, sum(citedby_count) AS total_citations FROM affils_v GROUP BY afid, name, country ORDER BY n_papers DESC, total_citations DESC, afid LIMIT 15)",
+    "impact_keywords": """SELECT raw AS term, count(*) AS n_papers, sum(citedby_count) AS total_citations, round_even(avg(citedby_count), 1) AS mean_citations FROM (SELECT DISTINCT eid, citedby_count, raw FROM keywords_v) WHERE raw <> ''
+      GROUP BY raw HAVING count(*) >= 2 ORDER BY total_citations DESC, term LIMIT 12""",
+}
+_facts_rows = " UNION ALL ".join(f"SELECT '{section}' AS section, {item}::VARCHAR AS item, '{m}' AS measure, {m}::DOUBLE AS value FROM ({FACTS_SQL[section]})" for section, (item, measures) in FACTS.items() for m in measures)
+
+
+@query(
+    "facts_values",
+    sql(f"{_facts_rows} UNION ALL SELECT 'corpus_summary', 'all', 'total_papers', count(*)::DOUBLE FROM papers_v UNION ALL SELECT 'corpus_summary', 'all', 'mean_citations_per_paper', round_even(avg(citedby_count), 2) FROM papers_v"),
+)
+def facts_values(spark: SparkSession, d: str) -> DataFrame:
+    """The document's numbers as rows, read back from its JSON."""
+    sections = {name: f"array<struct<{item}: string, {', '.join(f'{m}: double' for m in measures)}>>" for name, (item, measures) in FACTS.items()}
+    schema = "corpus_summary struct<total_papers: double, mean_citations_per_paper: double>, " + ", ".join(f"{k} {v}" for k, v in sections.items())
+    doc = stored(facts_document(spark, d)).select(F.from_json("facts", schema).alias("f")).select("f.*")
+
+    def values(section: str, rows: DataFrame, item: Column, measures: tuple[str, ...]) -> DataFrame:
+        v = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures)))
+        return rows.select(F.lit(section).alias("section"), item.alias("item"), v.alias("v")).select("section", "item", "v.*")
+
+    out = values("corpus_summary", doc.select("corpus_summary.*"), F.lit("all"), ("total_papers", "mean_citations_per_paper"))
+    for name, (item, measures) in FACTS.items():
+        out = out.unionByName(values(name, doc.select(F.inline(name)), F.col(item), measures))
+    return out
+
+
 @query("citation_aging", sql("SELECT subfield, year, count(eid)::BIGINT AS n_papers, avg(citedby_count) AS mean_citations FROM subfields_v GROUP BY ALL"))
 def citation_aging(spark: SparkSession, d: str) -> DataFrame:
     return trends.citation_aging(views.subfields(spark, d))

@@ -1,6 +1,8 @@
+import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from papertide.operators import facts, trends
 
@@ -119,3 +121,30 @@ def test_yearly_brief(papers, long):
     got = {r.year: r for r in facts.yearly_brief(papers, long).collect()}
     assert got[2020].top_subfields == {"a": 2, "b": 1} and [p.title for p in got[2020].top_cited] == ["A", "B"]
     assert got[2020].total_citations_age_adjusted == 4.2 and list(got) == [2020, 2021, 2023]
+
+
+def test_facts_are_what_each_operator_gives(spark):
+    """The document comes from shared sums; null years, terms and labels, and columns that are missing, change nothing."""
+    rows = [(f"e{k}", f"T{k}", None if k % 9 == 0 else 2018 + k % 4, k % 7, (k % 7) / 3 if k % 9 else None, ["MRI ", "ct", None, "x", ""][: k % 6], ["cnn"] if k % 3 else None, k % 2 == 0 if k % 5 else None, "multi_center" if k % 4 else None) for k in range(40)]
+    papers = spark.createDataFrame(rows, "eid string, title string, year int, citedby_count long, citations_per_year double, author_keywords array<string>, ai_methods array<string>, code_available boolean, data_regime string")
+    labels = [(r[0], r[2], r[3], r[4], lab) for k, r in enumerate(rows) for lab in ["A", "B", None][: k % 4]]
+    long = spark.createDataFrame(labels, "eid string, year int, citedby_count long, citations_per_year double, subfield string")
+    authors = spark.createDataFrame([(r[0], r[2], "a", "A", 1, r[3]) for r in rows], "eid string, year int, auid string, name string, seq int, citedby_count long")
+    affils = spark.createDataFrame([(r[0], r[2], "f", "F", "X", r[3]) for r in rows], "eid string, year int, afid string, name string, country string, citedby_count long")
+    doc = json.loads(facts.facts(papers, long, authors, affils).first().facts)
+
+    def plain(df):
+        return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
+
+    assert [doc["corpus_summary"]] == plain(facts.corpus_summary(papers))
+    assert doc["yearly"] == plain(facts.yearly_brief(papers, long))
+    assert doc["subfield_growth"] == plain(trends.subfield_growth(long))
+    assert doc["rigor_trend"] == plain(facts.rigor_trend(papers))
+    assert doc["keyword_bursts"] == plain(trends.burst_detection(papers).limit(15))
+    assert doc["emerging_keywords"] == plain(trends.emergence(papers).limit(20))
+    assert doc["top_cited_overall"] == plain(facts.top_cited(papers).orderBy(F.desc("citations"), "title"))
+    assert doc["impact_keywords"] == plain(facts.impact_by_term(papers, "author_keywords"))
+    assert doc["impact_methods"] == plain(facts.impact_by_term(papers, "ai_methods"))
+    hype = plain(trends.hype_vs_impact(long))
+    assert [{k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.items()} for r in doc["hype_vs_impact"]] == hype
+    assert "impact_benchmarks" not in doc and "impact_model_families" not in doc
