@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 #: Letters, digits and underscores, two at least.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -63,7 +63,10 @@ def seams(docs: DataFrame, cluster_col: str, order_col: str, text_col: str, stop
 def ranged(df: DataFrame, key: str, *order: str) -> DataFrame:
     """``df``, stored by ranges of key and order: ``bucket`` numbers them in that order, so that a key of very many rows has many."""
     many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(many, key, *order).withColumn("bucket", F.spark_partition_id()))
+    once = stored(df)  # ranges are found by a pass of their own
+    out = stored(once.repartitionByRange(many, key, *order).withColumn("bucket", F.spark_partition_id()))
+    discard(once)
+    return out
 
 
 def with_previous(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
