@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: What separates words in most contracts: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,9 +97,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def row_digest(df: DataFrame) -> Column:
-    """All of a row; nulls, which the hash passes over, are marked."""
-    return F.xxhash64(*(x for c in df.columns for x in (df[f"`{c}`"], df[f"`{c}`"].isNull())))
+    """All of a row as 128 bits in hex; nulls, which the hash passes over, are marked.
+
+    What has no hash, maps and variants, counts as its JSON.
+    """
+    parts: list[Column] = []
+    for f in df.schema.fields:
+        c = df[f"`{f.name}`"]
+        parts += [c if _hashable(f.dataType) else F.to_json(F.struct(c.alias("c"))), c.isNull()]
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0")
+    return F.concat(half(1), half(2))
 
 
 def fold_ascii(c: Column) -> Column:

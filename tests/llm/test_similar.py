@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from papertide.llm import quality, similar
+from papertide.llm import quality, similar, simhash
+from papertide.llm.shared import row_digest
 
 from . import brute
 from .test_pipeline import fixture_rows
@@ -144,3 +145,27 @@ def test_all_stages(spark, rows, tmp_path):
         source = next(r[3] for r in data if r[0] == i)
         sizes[source] = sizes.get(source, 0) + len(brute.words(text[i] if i != 50 else text[i].replace("password=hunter2hunter2", "[SECRET]")))
     assert {r.source: r.source_size for r in out} == {s: n for s, n in sizes.items() if n}
+
+
+def test_rows_of_any_type(spark):
+    """Maps, variants and nested columns; equal rows are one row, and rows that differ in such a column alone are two."""
+    import corpus_pipeline
+
+    text = " ".join(f"m{k}" for k in range(80))
+    other = " ".join(f"n{k}" for k in range(80))
+    rows = [(1, text, {"a": 1}, [{"k": "x"}], '{"v": 1}'), (1, text, {"a": 1}, [{"k": "x"}], '{"v": 1}'), (2, text, {"a": 2}, [{"k": None}], None), (3, other, None, None, "[]"), (None, other, {"b": None}, [], "[]")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, marks map<string, int>, nested array<map<string, string>>, raw string").selectExpr("doc_id", "text", "marks", "nested", "try_parse_json(raw) AS v", "'s' AS source")
+    out = similar.similar_filter(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert sorted(r.doc_id for r in simhash.simhash_filter(df.where("doc_id IS NOT NULL")).collect()) == [1, 3]
+    staged = corpus_pipeline.STAGES[1][1](spark, df, "")
+    assert {tuple(sorted(r.marks.items())) for r in staged.collect() if r.doc_id == 1} == {(("a", 1),)}
+
+
+def test_digests_are_wide(spark):
+    """Two halves that do not follow from each other; each column and its being null count."""
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN '' END AS t", "map(id % 3, 1) AS m")
+    found = [r[0] for r in df.select(row_digest(df)).collect()]
+    assert {len(x) for x in found} == {32} and len({x[:16] for x in found}) == len({x[16:] for x in found}) == 2000
+    one = spark.sql("SELECT 1 AS a, '' AS b UNION ALL SELECT 1, NULL")
+    assert one.select(row_digest(one)).distinct().count() == 2
