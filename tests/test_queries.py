@@ -55,3 +55,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_extendedprice" not in plan(__spark_entry__.queries()["coauthor_edges"](spark, DATA))
     january = "o_orderdate >= timestamp'1995-01-01' AND o_orderdate < timestamp'1995-02-01'"
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan(views.authors(spark, DATA, january))
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    """Views deal lines out by their number, and what is computed by paper stays so dealt."""
+    from pyspark.sql import functions as F
+
+    from papertide.operators import graph
+    from papertide.plans import views
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(views, "ROWS_IN_TASK", 100)
+    many = -(-views.table(spark, d, "lineitem").count() // 100)
+    on = views.lines(spark, d, F.col("l_suppkey").alias("auid")).distinct()
+    for rows in (views.lines(spark, d), on, graph._pairs(on, "eid")):
+        assert rows.rdd.getNumPartitions() >= many
+    monkeypatch.setattr(views, "ROWS_IN_TASK", 10**9)
+    assert views.lines(spark, d).rdd.getNumPartitions() < many
