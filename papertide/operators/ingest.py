@@ -29,38 +29,39 @@ def _author(a: Column) -> Column:
     return F.struct(string_at(a, "@auid").alias("auid"), name("indexed-name").alias("indexed_name"), name("given-name").alias("given_name"), name("surname").alias("surname"), string_at(a, "@seq").alias("seq"), ids.alias("affil_ids"))
 
 
-def _references(core: Column) -> Column:
+def _references(bib: Column) -> Column:
     """The stated count, else the number of references; null without a bibliography."""
-    bib = at(core, "item", "bibrecord", "tail", "bibliography")
     there = is_object(bib) & (F.try_variant_get(bib, "$", "string") != "{}")
     return F.when(there, F.coalesce(number(string_at(bib, "@refcount"), "int"), F.size(one_or_many(at(bib, "reference")))))
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
     """``(eid, payload variant)`` to records; payloads that are null or carry an error marker are dropped."""
-    payload, core = F.col("payload"), at(F.col("payload"), ROOT)
-    data = at(core, "coredata")
+    payload = F.col("payload")
+    # whole paths: a part of a payload that is taken out first is copied for each of its fields
+    part = lambda *path: at(payload, ROOT, *path)
+    data = lambda key: string_at(payload, ROOT, "coredata", key)
     ok = payload.isNotNull() & ~F.is_variant_null(payload) & at(payload, "_error").isNull()
     subject = lambda a: F.struct(text_of(a).alias("area"), string_at(a, "@code").alias("code"), string_at(a, "@abbrev").alias("abbrev"))
     affil = lambda a: F.struct(string_at(a, "@id").alias("afid"), string_at(a, "affilname").alias("name"), string_at(a, "affiliation-city").alias("city"), string_at(a, "affiliation-country").alias("country"))
     return raw.where(ok).select(
         "eid",
-        bare_id(string_at(data, "dc:identifier")).alias("scopus_id"),
-        string_at(data, "prism:doi").alias("doi"),
-        string_at(data, "dc:title").alias("title"),
-        string_at(data, "dc:description").alias("abstract"),
-        year_of(string_at(data, "prism:coverDate")).alias("year"),
-        string_at(data, "prism:coverDate").alias("cover_date"),
-        string_at(data, "citedby-count").alias("citedby_count"),
-        string_at(data, "subtypeDescription").alias("subtype"),
-        string_at(data, "prism:aggregationType").alias("aggregation_type"),
-        _texts(at(core, "authkeywords", "author-keyword")).alias("author_keywords"),
-        _texts(at(core, "idxterms", "mainterm")).alias("index_terms"),
-        F.transform(_objects(at(core, "subject-areas", "subject-area")), subject).alias("subject_areas"),
-        F.transform(_objects(at(core, "authors", "author")), _author).alias("authors"),
-        F.transform(_objects(at(core, "affiliation")), affil).alias("affiliations"),
-        _references(core).alias("n_references"),
-        string_at(data, "openaccess").alias("openaccess"),
+        bare_id(data("dc:identifier")).alias("scopus_id"),
+        data("prism:doi").alias("doi"),
+        data("dc:title").alias("title"),
+        data("dc:description").alias("abstract"),
+        year_of(data("prism:coverDate")).alias("year"),
+        data("prism:coverDate").alias("cover_date"),
+        data("citedby-count").alias("citedby_count"),
+        data("subtypeDescription").alias("subtype"),
+        data("prism:aggregationType").alias("aggregation_type"),
+        _texts(part("authkeywords", "author-keyword")).alias("author_keywords"),
+        _texts(part("idxterms", "mainterm")).alias("index_terms"),
+        F.transform(_objects(part("subject-areas", "subject-area")), subject).alias("subject_areas"),
+        F.transform(_objects(part("authors", "author")), _author).alias("authors"),
+        F.transform(_objects(part("affiliation")), affil).alias("affiliations"),
+        _references(part("item", "bibrecord", "tail", "bibliography")).alias("n_references"),
+        data("openaccess").alias("openaccess"),
     )
 
 

@@ -10,6 +10,7 @@ from ..functions.text import exploded
 from ..functions.variant import coerced, salvaged
 from ..operators import cache, candidates, ingest, taxonomy, text
 from ..schemas import ANNOTATION
+from ..storage import stored
 from . import query, views
 from .views import AS_OF_YEAR
 
@@ -55,7 +56,8 @@ def payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return ingest.normalize(ingest.parse_records(payloads(spark, d)), AS_OF_YEAR)
+    # the filter and each field read the payload: stored, it is not written and parsed anew for each
+    return ingest.normalize(ingest.parse_records(stored(payloads(spark, d))), AS_OF_YEAR)
 
 
 _WHO = "(SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"

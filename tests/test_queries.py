@@ -72,3 +72,12 @@ def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
         assert rows.rdd.getNumPartitions() >= many
     monkeypatch.setattr(views, "ROWS_IN_TASK", 10**9)
     assert views.lines(spark, d).rdd.getNumPartitions() < many
+
+
+def test_payloads_are_parsed_once(spark, capsys):
+    """Neither the filter nor a field parses a payload anew."""
+    from papertide.plans import payloads
+
+    for table in payloads._tables(spark, "/root/testdata/sf0.001").values():
+        table.explain()
+        assert "parse_json" not in capsys.readouterr().out
