@@ -24,6 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays.
 
+    SimHash proposes pairs, their true similarity decides, and a prefix filter finds what SimHash misses.
+
     That is the row with the smallest id, null ids last, then that with the
     smallest digest.  Rows that share an id are judged each by its text, and
     texts without words are one group.

@@ -116,14 +116,15 @@ def _flips(bits: int) -> list[tuple[int, ...]]:
     return [c for k in range(1, bits + 1) for c in combinations(range(8 * bits), k)]
 
 
-def list_links(fps: np.ndarray, lists: np.ndarray, bits: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def list_links(fps: np.ndarray, lists: np.ndarray, bits: int, free: np.ndarray, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Verified links inside posting lists, as a star for each connected part.
 
     ``fps`` are the members, ``lists`` the number of each one's list, and
     ``free`` has a row for each list: the byte positions that may differ.
     Members of a list agree in all other bytes, so whatever differs from one in
     ``bits`` bits or fewer is found by probing those bits.  A connected part of
-    n members gives n - 1 links, to its smallest fingerprint.
+    n members gives n - 1 links, to its smallest fingerprint, or, with
+    ``forest``, a tree of links that were found themselves, the closest first.
     """
     order = np.lexsort((fps, lists))
     fps, lists = fps[order], lists[order]
@@ -148,6 +149,10 @@ def list_links(fps: np.ndarray, lists: np.ndarray, bits: int, free: np.ndarray)
     if not found_a:
         return fps[:0], fps[:0]
     a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if forest:
+        # one bit's difference is probed before two
+        kept = spanning_forest(len(fps), a, b, np.arange(len(a)))
+        return fps[a[kept]], fps[b[kept]]
     root = _least(len(fps), a, b, fps)
     joined = root != np.arange(len(fps))
     return fps[joined], fps[root[joined]]
@@ -167,8 +172,38 @@ def _least(n: int, a: np.ndarray, b: np.ndarray, fps: np.ndarray) -> np.ndarray:
         root = new
 
 
-def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``fps(fp)``, distinct, to links ``(a, b)`` that connect whatever is at most ``bits`` bits apart."""
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) are in the forest of least ranks; ranks differ."""
+    root, taken = np.arange(n), np.zeros(len(a), bool)
+    while True:
+        x, y = root[a], root[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
+            return taken
+        best = np.full(n, len(rank), np.int64)
+        np.minimum.at(best, x[open_], rank[open_])
+        np.minimum.at(best, y[open_], rank[open_])
+        chosen = open_[(best[x[open_]] == rank[open_]) | (best[y[open_]] == rank[open_])]
+        taken[chosen] = True
+        u, v = x[chosen], y[chosen]
+        link = np.arange(n)
+        while True:
+            low = np.minimum(link[u], link[v])
+            new = link.copy()
+            np.minimum.at(new, link[u], low)
+            np.minimum.at(new, link[v], low)
+            new = new[new]
+            if (new == link).all():
+                break
+            link = new
+        root = link[root]
+
+
+def fingerprint_links(fps: DataFrame, bits: int = BITS, forest: bool = False) -> DataFrame:
+    """``fps(fp)``, distinct, to links ``(a, b)`` that connect whatever is at most ``bits`` bits apart.
+
+    With ``forest`` the two of each link are at most that far apart themselves.
+    """
     masks = position_sets(bits)
     free = np.array(list(combinations(range(8), bits)), np.uint64)
     spread = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("held")) for i, m in enumerate(masks)))).alias("k"))
@@ -181,7 +216,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             flat = members.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             which = np.repeat(np.arange(len(sizes)), sizes)
             choice = batch.column("choice").to_numpy(zero_copy_only=False).astype(np.int64)
-            a, b = list_links(flat, which, bits, free[choice])
+            a, b = list_links(flat, which, bits, free[choice], forest)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return map_batches(lists, link, "a bigint, b bigint")

@@ -1,20 +1,24 @@
-"""Near-duplicates by the true similarity of their word shingles (the pipeline's second stage).
+"""Near-duplicates by SimHash, held to the true similarity of their word shingles (the pipeline's second stage).
 
 Two documents are linked where the Jaccard similarity of their sets of five-word
-shingles is ``SIMILARITY`` or more.  No radius of SimHash bits holds all such
-pairs, so candidates come from a prefix filter, which does: under one order of
+shingles is ``SIMILARITY`` or more.  SimHash comes first: fingerprints of
+operator 7 that are equal or at most ``BITS`` bits apart are candidates, found
+by its inverted index, and links are those of them whose whole sets are similar
+enough.  No radius of bits holds all such pairs, so a prefix filter, which does,
+then looks for what joins the groups that SimHash has made: under one order of
 all shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of each.
 The order puts shingles that many documents have last, so that license lines
 and other boilerplate make no long lists; whatever it is, no pair is lost.
 
 A list is never gathered as one row.  Lists are told apart by their counts and
 two digests of their members, equal ones are kept once, and a long one is cut
-into blocks whose pairs are looked at one by one.  Inside a block sketches
-refuse whatever differs in too many shingles for sure.  What is left is not
-written out as pairs: a block gives the edges of a minimum spanning forest, the
-closest first.  These are verified by whole sets.  A second look at the lists
-then gives every pair that the sketches leave in question and that is not yet
-connected, so a link that hides behind an edge that proved false is not lost.
+into blocks whose pairs are looked at one by one; blocks whose members are one
+group already are left out.  Inside a block sketches refuse whatever differs in
+too many shingles for sure.  What is left is not written out as pairs: a block
+gives the edges of a minimum spanning forest of its groups, the closest first.
+These are verified by whole sets.  A second look at the lists then gives every
+pair that the sketches leave in question and that is not yet connected, so a
+link that hides behind an edge that proved false is not lost.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .components import connected_components
 from .shared import discard, fresh, map_batches, row_digest, sent, stored
+from .simhash import fingerprint_links, fingerprints, spanning_forest
 
 SHINGLE, SIMILARITY = 5, 0.8
 SLICE_BYTES = 1 << 20
@@ -145,54 +150,24 @@ def likely_pairs(n: np.ndarray, words: np.ndarray, edges: np.ndarray, similarity
     return tuple(np.concatenate([none, *x]) for x in (left, right, apart))
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b) are in the forest of least ranks; ranks differ."""
-    root, taken = np.arange(n), np.zeros(len(a), bool)
-    while True:
-        x, y = root[a], root[b]
-        open_ = np.flatnonzero(x != y)
-        if not len(open_):
-            return taken
-        best = np.full(n, len(rank), np.int64)
-        np.minimum.at(best, x[open_], rank[open_])
-        np.minimum.at(best, y[open_], rank[open_])
-        chosen = open_[(best[x[open_]] == rank[open_]) | (best[y[open_]] == rank[open_])]
-        taken[chosen] = True
-        u, v = x[chosen], y[chosen]
-        link = np.arange(n)
-        while True:
-            low = np.minimum(link[u], link[v])
-            new = link.copy()
-            np.minimum.at(new, link[u], low)
-            np.minimum.at(new, link[v], low)
-            new = new[new]
-            if (new == link).all():
-                break
-            link = new
-        root = link[root]
-
-
-def _blocks(postings: DataFrame, heads: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``(members)``: a row for each pair of blocks of each list, with the members' keys, sizes, sketches, sides and labels."""
-    member = postings.join(heads, "h").select("h", "c", "key")
-    member = member.join(nodes.select("key", "n", "sketch"), "key")
-    if labels is None:
-        member = member.withColumn("label", F.lit(0).cast("bigint"))
-    else:
-        member = member.join(labels, "key")
+def _blocks(postings: DataFrame, heads: DataFrame, nodes: DataFrame, labels: DataFrame, others: bool) -> DataFrame:
+    """``(members)``: a row for each pair of blocks of each list, with the members' keys, sizes, sketches, sides and labels.
+
+    Nodes without a label are groups of their own, or left out unless ``others``.
+    """
+    labelled = nodes.select("key", "n", "sketch").join(labels, "key", "left" if others else "inner").withColumn("label", F.coalesce("label", "key"))
+    member = postings.join(heads, "h").select("h", "c", "key").join(labelled, "key")
     cut = F.ceil(F.col("c") / BLOCK).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("key"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     # where both are one block there is no other side
     one = F.struct("key", "n", "sketch", (F.col("block") > F.col("other")).alias("side"), "label")
     pairs = member.select("h", low.alias("p"), high.alias("q"), one.alias("x")).groupBy("h", "p", "q").agg(F.collect_list("x").alias("m"))
-    if labels is not None:
-        pairs = pairs.where(F.exists("m", lambda x: x["label"] != F.col("m")[0]["label"]))
-    return pairs.select("m")
+    return pairs.where(F.exists("m", lambda x: x["label"] != F.col("m")[0]["label"])).select("m")
 
 
 def _edges(blocks: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Likely pairs ``(a, b)`` of different labels, a < b; of those of a forest's blocks only the forest."""
+    """Likely pairs ``(a, b)`` of different labels, a < b; with ``forest`` only a block's spanning forest of its labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,13 +179,14 @@ def _edges(blocks: DataFrame, similarity: float, forest: bool) -> DataFrame:
                 data, cuts = tk.column_bytes(m.field("sketch").take(pa.array(order)))
                 key, n, side, label = key[order], n[order].astype(np.int64), side[order].astype(bool), label[order]
                 a, b, apart = likely_pairs(n, np.frombuffer(data.tobytes(), np.uint64), cuts // 8, similarity, side)
-                a, b = np.minimum(a, b), np.maximum(a, b)
+                new = label[a] != label[b]
+                a, b, apart = np.minimum(a, b)[new], np.maximum(a, b)[new], apart[new]
+                kept = np.ones(len(a), bool)
                 if forest:
                     ranked = np.lexsort((b, a, apart))
                     a, b = a[ranked], b[ranked]
-                    kept = spanning_forest(len(key), a, b, np.arange(len(a)))
-                else:
-                    kept = label[a] != label[b]
+                    group = np.unique(label, return_inverse=True)[1]
+                    kept = spanning_forest(len(key), group[a], group[b], np.arange(len(a)))
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[kept]]), pa.array(key[b[kept]])], names=["a", "b"])
 
     return map_batches(blocks, run, "a bigint, b bigint").distinct()
@@ -238,6 +214,25 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int,
     return out
 
 
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs of keys ``(a, b)``, a < b, that SimHash proposes for ``nodes(key, fp)``.
+
+    Keys of one fingerprint meet the least of them, and the least of two
+    fingerprints each other where the index joins these.
+    """
+    owners = stored(nodes.groupBy("fp").agg(F.min("key").alias("key")))
+    same = nodes.join(owners.withColumnRenamed("key", "other"), "fp").where("key != other").select(F.col("other").alias("a"), F.col("key").alias("b"))
+    # few bytes make many list entries: dealt out first
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = fingerprint_links(owners.select("fp").repartition(parts, "fp"), forest=True)
+    for side in "ab":
+        links = links.join(owners.select(F.col("fp").alias(side), F.col("key").alias(f"key_{side}")), side)
+    near = links.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    out = stored(same.union(near).distinct())
+    discard(owners)
+    return out
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, common: int = COMMON) -> DataFrame:
     """``(key, label)``: each different shingle set, and the row that stands for its component, as ``label.id`` and ``label.digest``.
 
@@ -251,6 +246,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         order = last()
         for batch in batches:
             for lo, hi, data, cuts in _slices(batch.column(2)):
+                prints = fingerprints(data, cuts)
                 grams, bounds = shingle_sets(data, cuts, shingle, order)
                 n = np.diff(bounds)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(grams))])
@@ -259,33 +255,45 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sketch, edges = sketches(grams, bounds)
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(sketch)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)), pa.array(n.astype(np.int32)), _lists(grams[kept], np.concatenate([[0], np.cumsum(first)])), packed],
-                    names=["id", "digest", "key", "n", "prefix", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)), pa.array(n.astype(np.int32)), _lists(grams[kept], np.concatenate([[0], np.cumsum(first)])), packed, pa.array(prints.view(np.int64))],
+                    names=["id", "digest", "key", "n", "prefix", "sketch", "fp"],
                 )
 
-    short = map_batches(keyed, shorten, f"id {kind}, digest string, key bigint, n int, prefix array<bigint>, sketch binary")
+    short = map_batches(keyed, shorten, f"id {kind}, digest string, key bigint, n int, prefix array<bigint>, sketch binary, fp bigint")
     label = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("digest").alias("digest"), F.col("key").alias("key"))
-    nodes = stored(short.groupBy("key").agg(F.min(label).alias("label"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
+    nodes = stored(short.groupBy("key").agg(F.min(label).alias("label"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")))
+
+    proposed = simhash_candidates(nodes.select("key", "fp"))
+    links = _similar(proposed, nodes, keyed, shingle, similarity)
+    discard(proposed)
+    joined = stored(_grouped(links, links))
+
     postings = nodes.select("key", F.explode("prefix").alias("h"))
     # near copies share most of their prefix: lists of the same members are kept once
     lists = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("mark")).where("c > 1")
     heads = stored(lists.groupBy("c", "least", "mark").agg(F.min("h").alias("h")).select("h", "c"))
 
-    tried = stored(_edges(_blocks(postings, heads, nodes, None), similarity, forest=True))
-    links = _similar(tried, nodes, keyed, shingle, similarity)
-    met = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label"))
-    so_far = stored(connected_components(met, links).select(F.col("node").alias("key"), "label"))
-    # members without any likely partner have none in another look either
-    rest = _edges(_blocks(postings, heads, nodes, so_far), similarity, forest=False)
+    tried = stored(_edges(_blocks(postings, heads, nodes, joined, others=True), similarity, forest=True))
+    found = _similar(tried, nodes, keyed, shingle, similarity)
+    so_far = stored(_grouped(tried.union(links), links.union(found)))
+    # members without any likely partner in another group have none in another look either
+    rest = _edges(_blocks(postings, heads, nodes, so_far, others=False), similarity, forest=False)
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-    discard(so_far, heads, tried)
+    discard(joined, so_far, heads, tried)
     others = _similar(rest, nodes, keyed, shingle, similarity)
     discard(rest)
-    out = stored(connected_components(nodes.select(F.col("key").alias("node"), "label"), links.union(others)).select(F.col("node").alias("key"), "label"))
-    discard(nodes, links, others)
+    every = links.union(found).union(others)
+    out = stored(connected_components(nodes.select(F.col("key").alias("node"), "label"), every).select(F.col("node").alias("key"), "label"))
+    discard(nodes, links, found, others)
     return out
 
 
+def _grouped(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``(key, label)`` of the nodes of ``met(a, b)`` as ``links(a, b)`` join them."""
+    nodes = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label"))
+    return connected_components(nodes, links).select(F.col("node").alias("key"), "label")
+
+
 def similar_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` of each component, with all its columns: the first by id, nulls last, then by the digest of the row.
 

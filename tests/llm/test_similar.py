@@ -113,6 +113,43 @@ def test_stage_finds_near_copies_that_are_many_bits_apart(spark):
     assert sorted(x.doc_id for x in out.collect()) == [1, 3]
 
 
+def test_simhash_proposes_and_similarity_decides(spark, monkeypatch):
+    """Copies with a changed word in a long text come from SimHash's index, are verified, and leave the prefix filter nothing to link."""
+    r = random.Random(5)
+    rows = []
+    for k in range(8):
+        base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+        rows += [(10 * k, " ".join(base), "s"), (10 * k + 1, " ".join([*base[:1500], "other", *base[1501:]]), "s")]
+    # one multiset of three-word shingles, and so one fingerprint, in texts whose five-word shingles differ
+    rows += [(90, "a b a b c a b d a b a b", "s"), (91, "a b d a b a b c a b a b", "s")]
+    assert brute.fingerprint(rows[-1][1]) == brute.fingerprint(rows[-2][1])
+    close = {(rows[i][0], rows[i + 1][0]) for i in range(0, 16, 2) if (brute.fingerprint(rows[i][1]) ^ brute.fingerprint(rows[i + 1][1])).bit_count() <= 2}
+    assert len(close) > 2
+    asked, similar_pairs = [], similar._similar
+
+    def watched(pairs, *args):
+        out = similar_pairs(pairs, *args)
+        asked.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "_similar", watched)
+    got = similar.similar_components(spark.createDataFrame(rows, COLUMNS)).select("label.id").distinct().collect()
+    assert sorted(x.id for x in got) == survivors(rows) == [*range(0, 80, 10), 90, 91]
+    assert asked[0] == (len(close) + 1, len(close))
+    assert asked[1] == (8 - len(close), 8 - len(close)) and asked[2] == (0, 0)
+
+
+def test_links_of_a_forest_are_near(spark):
+    fps = [0, 1, 3, 7, 15, 31, 255 << 40, (255 << 40) + 3]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), forest=True).collect()
+    assert links and all((x.a ^ x.b).bit_count() <= 2 for x in links)
+    root = {f: f for f in fps}
+    for x in links:
+        old, new = root[x.b], root[x.a]
+        root = {f: new if v == old else v for f, v in root.items()}
+    assert len(set(root.values())) == 2
+
+
 def test_rows_of_one_id_are_judged_by_their_texts(spark):
     texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
     rows = [(1, texts[0], "s"), (2, texts[0], "s"), (2, texts[1], "s"), (None, texts[1], "s"), (None, texts[2], "t"), (None, texts[2], "t"), (None, texts[2], "u")]
