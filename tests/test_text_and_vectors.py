@@ -152,3 +152,18 @@ def test_nearest_of_very_many_centres(spark, monkeypatch):
     assert {r.topic for r in got if r.eid == 305} == {150}
     small = vectors.nearest_topic(df, centres, "eid", "vector", block=30_000).collect()
     assert sorted(((r.eid or -1, r.topic) for r in small)) == sorted(((r.eid or -1, r.topic) for r in got))
+
+
+def test_best_terms_of_many_texts(spark, monkeypatch):
+    """Rare terms that no cluster shares outscore frequent ones that all share; more terms are more partitions, of the same counts."""
+    monkeypatch.setattr(text, "TERMS_IN_TASK", 40)
+    docs = [(c, i, " ".join(["all"] * 9 + [f"own{c}"] * 3 + [f"x{c}{i}{k}" for k in range(5)])) for c in range(6) for i in range(5)]
+    df = spark.createDataFrame(docs, "cluster int, ord int, doc string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = sorted(((c, -s, t) for (c, t), s in plain_ctfidf(docs).items()))
+    for top in (1, 3, 12, 1000):
+        got = sorted((r.cluster, r.rank, r.term) for r in text.ctfidf(df, "cluster", "ord", "doc", top, []).collect())
+        each = {c: [t for x, _, t in want if x == c][:top] for c in range(6)}
+        assert {c: {t for x, _, t in got if x == c} for c in range(6)} == {c: set(v) for c, v in each.items()}
+    tf = text.cluster_terms(df, "cluster", "ord", "doc", [])
+    assert len(tf.inputFiles()) > 5 * int(before) and spark.conf.get("spark.sql.shuffle.partitions") == before
