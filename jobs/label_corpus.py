@@ -45,7 +45,9 @@ def labelled(texts: DataFrame, config: dict) -> DataFrame:
     """Words, hash and labels of each text; a null text is empty, with a null hash."""
     seeds = {label: tuple(words) for label, words in config["taxonomy"].items()} or TAXONOMY
     text = F.coalesce("text", F.lit(""))
-    labels = taxonomy.rule_labels(F.lower(text), seeds, config["whole_words"])
+    # a column of its own: inside the conditions it would be lower-cased anew for each seed
+    texts = texts.withColumn("lowered", F.lower(text))
+    labels = taxonomy.rule_labels(F.col("lowered"), seeds, config["whole_words"])
     return texts.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.sha2("text", 256).alias("text_hash"), taxonomy.label_union(labels, F.lit(None).cast("array<string>")).alias("labels"), "lang")
 
 

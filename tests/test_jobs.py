@@ -179,3 +179,10 @@ def test_command_line(job, tmp_path):
     done = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--help"], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and "--config" in done.stdout
     assert json.loads((root / f"jobs/{job}.json").read_text())
+
+
+def test_texts_are_lower_cased_once(spark):
+    texts = spark.createDataFrame([(1, "A Chatbot", "en", "s", 9)], label_corpus.TEXTS)
+    out = label_corpus.labelled(texts, label_corpus.settings())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "chatbot" in plan
