@@ -56,9 +56,11 @@ def reports(papers: DataFrame, keywords: DataFrame, labels: DataFrame, affiliati
     """Wide tables with ``year``, ``item`` and a column for each measure."""
     papers = impact(papers, as_of_year)
     dated = papers.select("eid", "year", "citedby_count", "citations_per_year")
-    long = dated.join(labels.select("eid", "subfield").distinct(), "eid")
+    # dealt out by paper first: distinct and join then need no shuffle of their own, and both readers of the labels share this one
+    once = lambda df, column: df.select("eid", column).repartition("eid").distinct()
+    long = dated.join(once(labels, "subfield"), "eid")
     aging, share = trends.citation_aging(long), trends.subfield_share(long, dated)
-    where = affiliations.select("eid", "country").distinct().join(dated, "eid").where("year IS NOT NULL")
+    where = once(affiliations, "country").join(dated, "eid").where("year IS NOT NULL")
     used = terms(keywords.select("eid", "author_keywords").join(dated, "eid"), "author_keywords").where("year IS NOT NULL")
     return {
         "volume": trends.papers_per_year(dated).withColumn("item", F.lit("all papers")),

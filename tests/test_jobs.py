@@ -186,3 +186,15 @@ def test_texts_are_lower_cased_once(spark):
     out = label_corpus.labelled(texts, label_corpus.settings())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and "chatbot" in plan
+
+
+def test_labels_are_shuffled_once(spark):
+    papers = spark.createDataFrame([(1, "t", 2000, 5)], "eid long, title string, year int, citedby_count long")
+    terms = spark.createDataFrame([(1, ["a b"])], "eid long, author_keywords array<string>")
+    labels = spark.createDataFrame([(1, "x"), (1, "x")], "eid long, subfield string")
+    places = spark.createDataFrame([(1, "y"), (1, "y")], "eid long, country string")
+    wide = trend_report.reports(papers, terms, labels, places, 2002, 3)
+    for report, column in (("subfields", "subfield"), ("countries", "country")):
+        plan = wide[report]._jdf.queryExecution().executedPlan().toString()
+        assert f", {column}#" not in "".join(x for x in plan.split("hashpartitioning(eid#")[1:] for x in [x.split(")")[0]])
+        assert [r.n_papers for r in wide[report].collect()] == [1]
