@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..config import ClusterSettings
 from ..storage import stored
+from .cells import CELL, distances, spanning_edges
 from .text import ctfidf
 
 #: Fixed value: what noise is called.
 OUTLIERS = "Outliers / unclustered"
-#: Points that are compared with as many others in one task.
+#: Points that are compared each with each in one task.
 BLOCK = 5_000
 #: Centres and vectors that one task compares.
 CENTRES, VECTORS = 10_000, 50_000
@@ -33,7 +34,8 @@ CENTRES, VECTORS = 10_000, 50_000
 def l2_normalized(v: Column) -> Column:
     """Unit length in single precision; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: (x / F.greatest(norm, F.lit(1e-8))).cast("float"))
+    # handed over in an array: in the inner function it would be computed for each element
+    return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: (x / F.greatest(n, F.lit(1e-8))).cast("float")))[0]
 
 
 def project(vectors: DataFrame, id_col: str, vector_col: str, components: int) -> DataFrame:
@@ -44,23 +46,32 @@ def project(vectors: DataFrame, id_col: str, vector_col: str, components: int) -
 
 
 def spanning_tree(x: np.ndarray, min_samples: int, core: np.ndarray | None = None) -> np.ndarray:
-    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability; memory grows with the points alone.
+    """Edges (a, b, distance, later) of the minimum spanning tree under mutual reachability; memory grows with the points alone.
 
-    ``core`` are the distances to the nearest points where there are more than these.
+    ``core`` are the distances to the nearest points where there are more than
+    these; ``later`` is 0 between copies.  Of equal distances that of a copy
+    comes first, then that of the smaller numbers.
     """
     n = len(x)
     core = nearest(x, x, min_samples).max(1) if core is None else core
-    inside = np.zeros(n, bool)
-    near, via = np.full(n, np.inf), np.zeros(n, np.int64)
-    edges = np.empty((max(n - 1, 0), 3))
+    outside = np.ones(n, bool)
+    near, later, via = np.full(n, np.inf), np.ones(n, bool), np.zeros(n, np.int64)
+    edges = np.empty((max(n - 1, 0), 4))
     at = 0
     for e in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), np.maximum(core, core[at]))
-        closer = ~inside & (d < near)
-        near[closer], via[closer] = d[closer], at
-        at = int(np.where(inside, np.inf, near).argmin())
-        edges[e] = via[at], at, near[at]
+        outside[at] = False
+        d = distances(x[at : at + 1], x)[0]
+        apart = d > 0
+        d = np.maximum(d, np.maximum(core, core[at]))
+        same = d == near
+        closer = outside & ((d < near) | same & ((apart < later) | (apart == later) & (at < via)))
+        near[closer], later[closer], via[closer] = d[closer], apart[closer], at
+        left = np.where(outside, near, np.inf)
+        first = np.flatnonzero(left == left.min())
+        if len(first) > 1:
+            first = first[np.lexsort((np.maximum(first, via[first]), np.minimum(first, via[first]), later[first]))]
+        at = int(first[0])
+        edges[e] = min(via[at], at), max(via[at], at), near[at], later[at]
     return edges[np.argsort(edges[:, 2], kind="stable")]
 
 
@@ -68,10 +79,9 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """The k smallest distances, or as many as there are, from each of x to the points y."""
     k = min(k, len(y))
     out = np.empty((len(x), k))
-    step = max(1, (1 << 22) // max(1, y.size))
+    step = max(1, (1 << 20) // max(1, len(y)))
     for lo in range(0, len(x), step):
-        d = np.sqrt(((x[lo : lo + step, None, :] - y[None]) ** 2).sum(2))
-        out[lo : lo + step] = np.partition(d, k - 1, axis=1)[:, :k]
+        out[lo : lo + step] = np.partition(distances(x[lo : lo + step], y), k - 1, axis=1)[:, :k]
     return out
 
 
@@ -84,12 +94,12 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
 
 
 def clusters_of(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
-    """The labels of n points from edges (a, b, distance) that hold their minimum spanning tree."""
+    """The labels of n points from edges (a, b, distance, later) that hold their minimum spanning tree."""
     # single linkage: node n + e joins two nodes at an edge's distance
     left, right, size = np.empty(n - 1, int), np.empty(n - 1, int), np.ones(2 * n - 1, int)
     top = np.arange(n)
     group = np.arange(n)
-    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 3], edges[:, 2]))]
     length, done = np.empty(n - 1), 0
 
     def find(i: int) -> int:
@@ -98,7 +108,7 @@ def clusters_of(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
             i = top[i]
         return i
 
-    for a, b, d in edges:
+    for a, b, d in edges[:, :3]:
         ra, rb = find(int(a)), find(int(b))
         if ra == rb:
             continue
@@ -165,13 +175,13 @@ def clusters_of(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
 def density_clusters(low: DataFrame, id_col: str, vector_col: str = "low", min_cluster_size: int = 5, most_points: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(id, topic)``: density clusters of all points; exact at any size, -1 for noise.
 
-    Density clusters depend on all distances.  Points are dealt into blocks;
-    each pair of blocks gives the distances to the nearest points, then the
-    minimum spanning tree of its points, and the tree of all points is among
-    these edges.  No distances are kept, and a task holds two blocks.  Only the
-    points' numbers and the edges meet at the end, in one task, where clusters
-    are cut from the tree.  Ids must be different.  The work grows with the
-    square of the points; ``most_points`` refuses more than are meant.
+    Up to ``block`` points are one task's.  More are cut into cells of space
+    (see ``cells``), where distances to the nearest points and the minimum
+    spanning tree are found without comparing all pairs; the work grows about
+    as the points do, if they have few dimensions.  Only the points' numbers and
+    the tree's edges, one fewer than points, meet at the end, in one task, where
+    clusters are cut from the tree.  Ids must be different; ``most_points``
+    refuses more than are meant.
     """
     n = low.count()
     if most_points is not None and n > most_points:
@@ -179,41 +189,22 @@ def density_clusters(low: DataFrame, id_col: str, vector_col: str = "low", min_c
     kind = low.schema[id_col].dataType.simpleString()
     if n < max(2, min_cluster_size):
         return low.select(id_col, F.lit(-1).alias("topic"))
-    many = -(-n // block)
-    # numbers in the order of the ids; blocks by number
+    # numbers in the order of the ids
     points = stored(low.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x")).repartitionByRange("id").sortWithinPartitions("id"))
-    rows = points.select("id", "x", F.row_number().over(W.orderBy("id")).alias("i")) if many == 1 else _numbered(points)
-    rows = stored(rows.select("id", "x", (F.col("i") - 1).cast("bigint").alias("i"), F.pmod(F.xxhash64("i"), F.lit(many)).cast("int").alias("block")))
-
-    def paired(df: DataFrame) -> DataFrame:
-        both = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-        return both.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, side, i = np.stack(pdf["x"].to_numpy()), pdf["block"].to_numpy(), pdf["i"].to_numpy()
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        out = []
-        for a, b in {(p, q), (q, p)}:
-            mine = side == a
-            if mine.any() and (side == b).any():
-                out.append(pd.DataFrame({"i": i[mine], "d": list(nearest(x[mine], x[side == b], min_cluster_size))}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "d": []})
-
-    near = paired(rows).groupBy("p", "q").applyInPandas(close, "i bigint, d array<double>")
-    k = min(min_cluster_size, n)
-    core = near.groupBy("i").agg(F.element_at(F.array_sort(F.flatten(F.collect_list("d"))), k).alias("core"))
-    known = stored(rows.join(core, "i"))
+    rows = points.select("id", "x", F.row_number().over(W.orderBy("id")).alias("i")) if n <= block else _numbered(points)
+    rows = stored(rows.select("id", "x", (F.col("i") - 1).cast("bigint").alias("i")))
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        e = spanning_tree(np.stack(pdf["x"].to_numpy()), min_cluster_size, pdf["core"].to_numpy())
-        i = pdf["i"].to_numpy()
-        return pd.DataFrame({"a": i[e[:, 0].astype(int)], "b": i[e[:, 1].astype(int)], "d": e[:, 2]})
+        return pd.DataFrame(spanning_tree(np.stack(pdf["x"].to_numpy()), min_cluster_size), columns=["a", "b", "d", "later"]).astype({"a": int, "b": int, "later": int})
 
-    edges = paired(known).groupBy("p", "q").applyInPandas(tree, "a bigint, b bigint, d double")
+    if n <= block:
+        edges = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(tree, "a bigint, b bigint, d double, later int")
+    else:
+        edges = spanning_edges(rows.select("i", "x"), min_cluster_size, min(block, CELL))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = clusters_of(pdf[["a", "b", "d"]].to_numpy(float), n, min_cluster_size)
+        labels = clusters_of(pdf[["a", "b", "d", "later"]].to_numpy(float), n, min_cluster_size)
         return pd.DataFrame({"i": np.arange(n), "topic": labels.astype("int32")})
 
     found = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(cut, "i bigint, topic int")

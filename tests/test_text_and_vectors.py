@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papertide.operators import text, vectors
+from papertide.operators import cells, text, vectors
 
 
 def plain_ctfidf(docs, stop=()):
@@ -131,6 +131,53 @@ def test_density_clusters_by_blocks(spark):
         assert [got[i] for i in sorted(got)] == expected.tolist()
 
 
+def scattered():
+    """Far groups with cells of their own, points on a grid with equal distances, copies, and some that are far from all."""
+    rng = np.random.default_rng(9)
+    grid = np.stack(np.meshgrid(*[np.arange(4.0)] * 3), -1).reshape(-1, 3)
+    groups = [rng.normal(size=(90, 3)) * 0.2 + c for c in ((40, 0, 0), (0, 60, 0))]
+    x = np.concatenate([grid, *groups, np.repeat(grid[:3] + 0.25, 9, 0), np.repeat(groups[0][:5], 3, 0), rng.normal(size=(20, 3)) * 30])
+    return x[rng.permutation(len(x))]
+
+
+def test_spanning_tree_in_cells(spark):
+    """Cells give the one tree that all points in one place have, an edge fewer than points, equal distances and copies included."""
+    x = scattered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>").repartition(3)
+    expected = sorted((int(a), int(b), d) for a, b, d, _ in vectors.spanning_tree(x, 5))
+    got = sorted((r.a, r.b, r.d) for r in vectors.spanning_edges(df, 5, cell=30).collect())
+    assert got == expected and len(got) == len(x) - 1
+
+
+def test_density_clusters_of_equal_distances_and_copies(spark):
+    """Where many distances are equal, clusters depend on the points, not on how these are dealt out."""
+    x = scattered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "eid long, low array<double>").repartition(3)
+    expected = vectors.hdbscan(x).tolist()
+    assert len(set(expected)) >= 4
+    got = {r.eid: r.topic for r in vectors.density_clusters(df, "eid", block=40).collect()}
+    assert [got[i] for i in sorted(got)] == expected
+
+
+def test_a_point_asks_a_bounded_number_of_cells():
+    """Eight times the points are eight times the work: a point meets about as many others as before."""
+    rng = np.random.default_rng(3)
+    met = []
+    for n in (8_000, 64_000):
+        x = rng.normal(size=(n, 5))
+        tree = cells.cuts(x, int(np.log2(n // 500)))
+        cell = cells.cell_of(tree, x)
+        low, high = np.full((len(tree.axis), 5), np.inf), np.full((len(tree.axis), 5), -np.inf)
+        np.minimum.at(low, cell, x)
+        np.maximum.at(high, cell, x)
+        tree = tree._replace(low=cells.upward(low, np.minimum), high=cells.upward(high, np.maximum))
+        some = x[:200]
+        asked = cells.reached(tree, some, vectors.nearest(some, x, 5).max(1))
+        assert set(zip(range(200), cell[:200])) <= set(zip(*(a.tolist() for a in asked)))
+        met.append(np.bincount(cell)[asked[1]].sum() / 200)
+    assert met[1] < 2 * met[0] and met[1] < 64_000 / 8
+
+
 def test_nearest_of_very_many_centres(spark, monkeypatch):
     """20,000 centres in blocks: as by comparing all; ids that repeat or are null are rows of their own."""
     rng = np.random.default_rng(12)
